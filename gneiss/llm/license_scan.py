@@ -26,7 +26,8 @@ from pyspark.sql import functions as F
 
 from gneiss.llm.common import ascii_lower
 
-NOT_WORD_RE = r"[\x00-\x2F\x3A-\x60\x7B-\x7F]+"
+#: What stands between words; letters of either case are left, so that case can be folded later, where it matters.
+NOT_WORD_RE = r"[\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]+"
 
 #: Fixed phrases and their labels.
 PHRASES = (
@@ -55,18 +56,20 @@ OUT = ("n_words", "n_base", "first_word", "last_word", "base_labels", "labels",
 
 
 def normal(text: Column) -> Column:
-    """Words of ``text`` with one space before, between and after them; a lone space if there are none."""
-    one = F.trim(F.regexp_replace(ascii_lower(F.coalesce(text, F.lit(""))), NOT_WORD_RE, " "))
+    """Words of ``text``, case kept, with one space before, between and after them; a lone space if there are none."""
+    one = F.trim(F.regexp_replace(F.coalesce(text, F.lit("")), NOT_WORD_RE, " "))
     return F.when(one == "", F.lit(" ")).otherwise(F.concat(F.lit(" "), one, F.lit(" ")))
 
 
 def spaces(x: Column) -> Column:
-    return (F.length(x) - F.length(F.translate(x, " ", ""))).cast("bigint")
+    return (F.length(x) - F.length(F.replace(x, F.lit(" "), F.lit("")))).cast("bigint")
 
 
 def token_frequencies(docs: DataFrame, text: str, vocabulary: Sequence[str]) -> dict[str, int]:
-    """Documents of the whole corpus that hold each vocabulary token; the result has one entry a token at most."""
-    each = docs.select(F.explode(F.array_intersect(F.lit(list(vocabulary)), F.split(normal(F.col(text)), " "))).alias("token"))
+    """Documents of the whole corpus that hold each vocabulary token, in lower, title or upper case; one entry a token at most."""
+    cases = sorted({c for w in vocabulary for c in (w, w.title(), w.upper())})
+    held = F.array_intersect(F.lit(cases), F.split(normal(F.col(text)), " "))
+    each = docs.select(F.explode(F.array_distinct(F.transform(held, F.lower))).alias("token"))
     return {r["token"]: r["n"] for r in each.groupBy("token").agg(F.count("*").alias("n")).collect()}
 
 
@@ -105,7 +108,10 @@ def license_scan(
     vocabulary, sets = ordered(templates, token_frequencies(docs, text, sorted({w for _, t in templates for w in t.split()})))
     rare = sorted({w for _, t in sets for w in t[: len(t) - max(1, math.ceil(threshold * len(t) - 1e-9)) + 1]})
     row = docs.drop(*[c for c in (*OUT, "blocks") if c in docs.columns and c != text])
-    row = row.withColumn("_n", normal(F.col(text)))
+    # only a text with a phrase or one of a template's rarest tokens is looked into further
+    may = F.col("_any").rlike(rf"(?i) (?:{'|'.join(rare)}|{'|'.join(p for p, _ in phrases)}) ")
+    row = row.withColumn("_any", normal(F.col(text)))
+    row = row.withColumn("_n", F.when(may, ascii_lower(F.col("_any"))).otherwise(F.lit("")))
     n = F.col("_n")
 
     def places(phrase: str) -> tuple[Column, Column, Column]:
@@ -124,15 +130,14 @@ def license_scan(
     label_sets = F.array_compact(F.array(*[F.when(x[1] > 0, F.lit(x[0])) for x in found]))
 
     def matches(line: Column) -> Column:
-        block = F.array_intersect(F.lit(vocabulary), F.split(normal(line), " "))
+        block = F.array_intersect(F.lit(vocabulary), F.split(ascii_lower(normal(line)), " "))
         each = lambda b: F.array(*[F.struct(F.lit(label).alias("label"), containment(b, tokens, threshold).alias("share"), line.alias("line")) for label, tokens in sets])
         return F.filter(F.flatten(F.transform(F.array(block), each)), lambda m: m["share"] > 0)
 
-    may = F.arrays_overlap(F.split(n, " "), F.lit(rare))
-    blocks = F.when(may, F.flatten(F.transform(F.split(F.coalesce(F.col(text), F.lit("")), "\n", -1), matches)))
+    blocks = F.when(F.arrays_overlap(F.split(n, " "), F.lit(rare)), F.flatten(F.transform(F.split(F.coalesce(F.col(text), F.lit("")), "\n", -1), matches)))
     row = row.withColumns(
         {
-            "n_words": F.greatest(spaces(n) - 1, F.lit(0)).cast("bigint"),
+            "n_words": F.greatest(spaces(F.col("_any")) - 1, F.lit(0)).cast("bigint"),
             "n_base": counts.cast("bigint"),
             "first_word": F.least(*[x[2] for x in found]),
             "last_word": F.greatest(*[x[3] for x in found]),
@@ -147,7 +152,7 @@ def license_scan(
             "score": F.when(F.col("n_base") > 0, F.lit(1.0)).otherwise(F.coalesce(F.array_max(F.transform("blocks", lambda b: b["share"])), F.lit(0.0))),
         }
     )
-    return row.drop("_n", "_base")
+    return row.drop("_any", "_n", "_base")
 
 
 def op7_license_scan(docs: DataFrame) -> DataFrame:

@@ -22,10 +22,12 @@ columns replace columns of the same name; an empty table gives an empty table.
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from gneiss.llm.common import SPACE, SPACE_RE, words_of
+from gneiss.llm.common import SPACE_RE, words_of
 
 #: Fixed phrases of boilerplate lines, in lower case.
 BOILERPLATE = (
@@ -46,53 +48,87 @@ BOILERPLATE = (
 #: Fixed words of menu lines, in lower case.
 MENU = ("home", "menu", "login", "logout", "register", "sitemap", "search", "next", "previous", "contact", "about", "subscribe", "share", "tweet")
 SYMBOLS = "#*$%&|<>"
+BARS = "|»›→·"
 MARKS = r"[.!?…。！？؟।]"
 
 BASE = ("n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words")
 OUT = (*BASE, "base_failed", "kept_share", "cleaned_text", "kept")
 
 
-def repeat_words(words: Column) -> Column:
+def bound(value: Column, f) -> Column:
+    """f(value) with ``value`` computed once, as the variable of a lambda over a one-element array."""
+    return F.get(F.transform(F.array(value), f), F.lit(0))
+
+
+def windows_of(one_spaced: Column) -> Column:
+    """All 3-word windows, in order, of a text whose words are split by single spaces."""
+    return F.regexp_extract_all(one_spaced, F.lit(r"(?=([^ ]++ [^ ]++ [^ ]++))[^ ]++ "), F.lit(1))
+
+
+def repeat_words(one_spaced: Column, windows: Column, few: int = 64) -> Column:
     """Words that lie in a 3-word window found twice or more, the first one included.
 
-    Sorts (window hash, place) and compares neighbours, so it takes n log n steps for any text.
-    Each intermediate array is bound once, as the variable of a lambda over a one-element array.
+    Most texts repeat none, which comparing sizes tells. Else the repeated windows are neighbours in the sorted
+    array. If they are few, a pattern of them marks the words where one starts (by a second space), and the text
+    becomes a string of flags; else (window, place) pairs are sorted, so it takes n log n steps for any text.
     """
-    windows = F.when(
-        F.size(words) >= 3,
-        F.transform(
-            F.sequence(F.lit(0), F.size(words) - 3),
-            lambda i: F.struct(F.xxhash64(F.get(words, i), F.get(words, i + 1), F.get(words, i + 2)).alias("h"), i.alias("i")),
-        ),
-    ).otherwise(F.array().cast("array<struct<h:bigint,i:int>>"))
 
-    def bound(array: Column, f) -> Column:
-        return F.get(F.transform(F.array(array), f), F.lit(0))
+    def twice(s: Column) -> Column:
+        return F.array_distinct(F.filter(s, lambda x, k: x == F.get(s, k - 1)))
+
+    def flagged(many: Column) -> Column:
+        quoted = F.transform(many, lambda w: F.concat(F.lit(r"\Q"), F.replace(w, F.lit(r"\E"), F.lit(r"\E\\E\Q")), F.lit(r"\E")))
+        pattern = F.concat(F.lit("(?<![^ ])(?=(?:"), F.array_join(quoted, "|"), F.lit(")(?![^ ]))"))
+        marked = F.regexp_replace(F.concat(F.lit(" "), one_spaced), pattern, F.lit(" "))
+        flags = F.replace(F.replace(F.regexp_replace(marked, "[^ ]++", "0"), F.lit("  0"), F.lit("1")), F.lit(" 0"), F.lit("0"))
+        return F.regexp_count(flags, F.lit("1|(?<=1.?)0"))
 
-    def places(s: Column) -> Column:
-        twice = F.filter(s, lambda x, k: (x["h"] == F.get(s, k - 1)["h"]) | (x["h"] == F.get(s, k + 1)["h"]))
-        return F.array_sort(F.transform(twice, lambda x: x["i"]))
+    def sorted_places(s: Column) -> Column:
+        again = F.filter(s, lambda x, k: (x["w"] == F.get(s, k - 1)["w"]) | (x["w"] == F.get(s, k + 1)["w"]))
+        return F.array_sort(F.transform(again, lambda x: x["i"]))
 
     def covered(p: Column) -> Column:
         each = F.transform(p, lambda x, k: F.least(F.lit(3), F.coalesce(F.get(p, k + 1) - x, F.lit(3))))
         return F.aggregate(each, F.lit(0), lambda a, x: a + x)
 
-    distinct = F.size(F.array_distinct(F.transform(windows, lambda x: x["h"])))
-    return F.when(distinct == F.size(windows), F.lit(0)).otherwise(bound(bound(F.array_sort(windows), places), covered)).cast("bigint")
+    def counted(many: Column) -> Column:
+        pairs = F.transform(windows, lambda w, i: F.struct(w.alias("w"), i.alias("i")))
+        return F.when(F.size(many) <= few, flagged(many)).otherwise(bound(bound(F.sort_array(pairs), sorted_places), covered))
+
+    none = F.size(F.array_distinct(windows)) == F.size(windows)
+    return F.when(none, F.lit(0)).otherwise(bound(bound(F.sort_array(windows), twice), counted)).cast("bigint")
+
 
+#: The line rules, each with a cheap test of a whole text that misses no text with a failing line.
+RULES = ("_phrase", "_menu", "_plain", "_symbols", "_bars")
 
-def line_fails(line: Column, max_symbol_share: float, max_menu_words: int) -> Column:
-    """Whether one line breaks a rule of its own."""
-    low = F.lower(line)
+
+def line_fails(line: Column, may: dict[str, Column], max_symbol_share: float, max_menu_words: int) -> Column:
+    """Whether one line breaks a rule of its own. A rule is tried only if ``may`` says that the text can fail it."""
     n = F.size(words_of(line))
     symbols = F.length(line) - F.length(F.translate(line, SYMBOLS, ""))
-    bars = F.length(line) - F.length(F.translate(line, "|»›→·", ""))
-    boiler = F.lit(False)
-    for phrase in BOILERPLATE:
-        boiler = boiler | low.contains(phrase)
-    menu = (n <= max_menu_words) & ~line.rlike(MARKS) & F.forall(words_of(low), lambda w: w.isin(*MENU))
-    unpunctuated = (n >= 12) & ~line.rlike(MARKS)
-    return boiler | menu | unpunctuated | (symbols > max_symbol_share * F.greatest(n, F.lit(1))) | ((bars >= 3) & (2 * bars >= n))
+    bars = F.length(line) - F.length(F.translate(line, BARS, ""))
+    phrase = F.lower(line).rlike("|".join(BOILERPLATE))
+    menu = ~line.rlike(MARKS) & (n <= max_menu_words) & F.forall(words_of(F.lower(line)), lambda w: w.isin(*MENU))
+    return (
+        (may["_symbols"] & (symbols > 0) & (symbols > max_symbol_share * F.greatest(n, F.lit(1))))
+        | (may["_bars"] & (bars >= 3) & (2 * bars >= n))
+        | (may["_plain"] & ~line.rlike(MARKS) & (n >= 12))
+        | (may["_phrase"] & phrase)
+        | (may["_menu"] & menu)
+    )
+
+
+def text_tests(text: Column, n_symbols: Column) -> dict[str, Column]:
+    """The tests of ``RULES``; phrases and menu words are looked for in lower, title and upper case, as a text's lower case is dear."""
+    cases = {c for p in BOILERPLATE for w in [p.split()[-1]] for c in (w[1:], w[1:].upper())}
+    return {
+        "_phrase": reduce(lambda a, b: a | b, [text.contains(c) for c in sorted(cases)]),
+        "_menu": text.rlike(rf"(?mi)^[^\S\n]*+(?:{'|'.join(MENU)})\b"),
+        "_plain": text.rlike(r"(?m)^[^\n.!?]{23,}+$"),
+        "_symbols": n_symbols > 0,
+        "_bars": reduce(lambda a, b: a | b, [text.contains(c) for c in BARS]),
+    }
 
 
 def quality_rules(
@@ -106,27 +142,42 @@ def quality_rules(
 ) -> DataFrame:
     """``docs`` with the columns in ``OUT``; see the module's text for the rules and the defined cases."""
     t = F.coalesce(F.col(text), F.lit(""))
-    lines = F.filter(F.split(t, "\n", -1), lambda x: F.length(F.translate(x, SPACE, "")) > 0)
+    lines = F.filter(F.split(t, "\n", -1), lambda x: x.rlike(r"[^\x20\x09-\x0D]"))
     row = docs.drop(*[c for c in OUT if c in docs.columns and c != text])
-    row = row.withColumns({"_words": words_of(t), "_lines": lines})
+    # whole-text passes are byte searches where they can be; only texts with runs of white space need a pattern
+    line_ends = F.replace(t, F.lit("\n"), F.lit(" "))
+    n_symbols = F.when(t.rlike(f"[{SYMBOLS}]"), F.regexp_count(t, F.lit(f"[{SYMBOLS}]"))).otherwise(F.lit(0))
+    row = row.withColumns({"_one": F.trim(line_ends), "_lines": lines, "n_symbols": n_symbols.cast("bigint")})
+    row = row.withColumn("_one", F.when(F.col("_one").rlike(r"[\x09-\x0D]|  "), F.trim(F.regexp_replace("_one", SPACE_RE, " "))).otherwise(F.col("_one")))
+    spaces = F.length("_one") - F.length(F.replace(F.col("_one"), F.lit(" "), F.lit("")))
+    row = row.withColumns(
+        {
+            "_windows": windows_of(F.col("_one")),
+            "_unique": F.array_distinct("_lines"),
+            **text_tests(t, F.col("n_symbols")),
+            "n_words": F.when(F.col("_one") == "", F.lit(0)).otherwise(spaces + 1).cast("bigint"),
+            "word_chars": (F.length("_one") - spaces).cast("bigint"),
+        }
+    )
+    good = F.filter("_unique", lambda x: ~line_fails(x, {r: F.col(r) for r in RULES}, max_symbol_share, max_menu_words))
+    suspect = reduce(lambda a, b: a | b, [F.col(r) for r in RULES])
     row = row.withColumns(
         {
-            "n_words": F.size("_words").cast("bigint"),
-            "word_chars": F.length(F.translate(t, SPACE, "")).cast("bigint"),
-            "n_symbols": (F.length(t) - F.length(F.translate(t, SYMBOLS, ""))).cast("bigint"),
-            "n_dup_lines": (F.size("_lines") - F.size(F.array_distinct("_lines"))).cast("bigint"),
-            "n_repeat_words": repeat_words(F.col("_words")),
-            "_kept": F.filter(F.array_distinct("_lines"), lambda x: ~line_fails(x, max_symbol_share, max_menu_words)),
+            "n_dup_lines": (F.size("_lines") - F.size("_unique")).cast("bigint"),
+            "n_repeat_words": repeat_words(F.col("_one"), F.col("_windows")),
+            "_kept": F.when(suspect, good).otherwise(F.col("_unique")),
         }
     )
     row = row.withColumn("cleaned_text", F.array_join("_kept", "\n")).withColumns(
         {
             "base_failed": (F.col("n_words") < min_words) | (100 * F.col("n_repeat_words") > max_repeat_percent * F.col("n_words")),
-            "kept_share": F.when(F.col("word_chars") > 0, F.length(F.translate(F.col("cleaned_text"), SPACE, "")) / F.col("word_chars")).otherwise(F.lit(0.0)),
+            "kept_share": F.when(F.col("word_chars") == 0, F.lit(0.0))
+            .when((F.col("n_dup_lines") == 0) & (F.size("_kept") == F.size("_lines")), F.lit(1.0))
+            .otherwise(F.length(F.regexp_replace("cleaned_text", SPACE_RE, "")) / F.col("word_chars")),
         }
     )
     row = row.withColumn("kept", ~F.col("base_failed") & (F.col("kept_share") >= min_kept_share))
-    return row.drop("_words", "_lines", "_kept")
+    return row.drop("_one", "_windows", "_lines", "_unique", "_kept", *RULES)
 
 
 def op9_quality_rules(docs: DataFrame) -> DataFrame:
@@ -135,4 +186,4 @@ def op9_quality_rules(docs: DataFrame) -> DataFrame:
 
 
 #: The base columns; ``kept`` and ``kept_share`` follow the method's own line rules and are tested apart.
-__all__ = ["quality_rules", "op9_quality_rules", "repeat_words", "line_fails", "SPACE_RE"]
+__all__ = ["quality_rules", "op9_quality_rules", "repeat_words", "line_fails"]
