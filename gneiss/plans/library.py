@@ -1,20 +1,422 @@
-"""Queries that exercise the operators over the driver's tables."""
+"""Queries that exercise the operators over the driver's tables, each with its SQL."""
 
 from __future__ import annotations
 
+from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
+
+from gneiss.operators import findings as fi
+from gneiss.operators import graph, ratchet, relops, similarity, stats, temporal, text
 from gneiss.plans.catalogue import query
 
 
+def t(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
+    return spark.read.parquet(f"{sf_dir}/{name}.parquet")
+
+
+def long(c: str):
+    return F.col(c).cast("bigint").alias(c)
+
+
+# --- class A: claims without support -------------------------------------------------------------
+
+
 @query(
     "unlabelled_documents",
     "SELECT 'doc/' || doc_id AS path, 'unlabelled' AS rule, 'no label covers this document' AS message, "
     "'unlabelled::doc/' || doc_id || '::no label covers this document' AS key "
     "FROM documents d WHERE NOT EXISTS (SELECT 1 FROM labels l WHERE l.doc_id = d.doc_id)",
 )
-def unlabelled_documents(spark, sf_dir):
-    from pyspark.sql import functions as F
+def unlabelled_documents(s, d):
+    bare = relops.without_support(t(s, d, "documents").select("doc_id"), t(s, d, "labels"), ["doc_id"])
+    return fi.findings(bare, "unlabelled", F.concat(F.lit("doc/"), F.col("doc_id").cast("string")), "no label covers this document").drop("line")
+
+
+@query("customers_without_urgent_orders", "SELECT c_custkey, c_name FROM customer c WHERE NOT EXISTS (SELECT 1 FROM orders o WHERE o.o_custkey = c.c_custkey AND o.o_orderpriority = '1-URGENT')")
+def customers_without_urgent_orders(s, d):
+    c = t(s, d, "customer").select(F.col("c_custkey").alias("k"), "c_name")
+    return relops.without_support(c, t(s, d, "orders").where("o_orderpriority = '1-URGENT'").select(F.col("o_custkey").alias("k")), ["k"]).select(F.col("k").alias("c_custkey"), "c_name")
+
+
+@query("parts_never_returned_in_bulk", "SELECT p_partkey FROM part WHERE p_partkey NOT IN (SELECT l_partkey FROM lineitem WHERE l_partkey IS NOT NULL AND l_returnflag = 'R' AND l_quantity > 40)")
+def parts_never_returned_in_bulk(s, d):
+    p = t(s, d, "part").select("p_partkey").withColumnRenamed("p_partkey", "k")
+    return relops.without_support(p, t(s, d, "lineitem").where("l_returnflag = 'R' and l_quantity > 40").select(F.col("l_partkey").alias("k")), ["k"]).select(F.col("k").alias("p_partkey"))
+
+
+@query("labelled_documents", "SELECT doc_id, lang FROM documents d WHERE EXISTS (SELECT 1 FROM labels l WHERE l.doc_id = d.doc_id)")
+def labelled_documents(s, d):
+    return relops.with_support(t(s, d, "documents").select("doc_id", "lang"), t(s, d, "labels"), ["doc_id"])
+
+
+@query(
+    "suppressed_findings",
+    "WITH f AS (SELECT 'o/' || o_orderkey AS path, o_orderkey % 7 AS line, CASE WHEN o_orderkey % 2 = 0 THEN 'even' ELSE 'odd' END AS rule FROM orders WHERE o_orderstatus = 'O') "
+    "SELECT path, CAST(line AS INTEGER) AS line, rule FROM f WHERE NOT (rule = 'even' AND line = 3)",
+)
+def suppressed_findings(s, d):
+    """A suppression with a reason hides its own rule at its own line; one without a reason, or for another rule, hides nothing."""
+    o = t(s, d, "orders").where("o_orderstatus = 'O'")
+    f = o.select(F.concat(F.lit("o/"), F.col("o_orderkey").cast("string")).alias("path"), (F.col("o_orderkey") % 7).cast("int").alias("line"), F.when(F.col("o_orderkey") % 2 == 0, "even").otherwise("odd").alias("rule"))
+    reasons = s.createDataFrame([(3, "even", "known"), (4, "even", " "), (5, "other", "known")], "line int, rule string, reason string")
+    return fi.suppress(f, reasons, ("line", "rule"))
+
+
+# --- class P: parity -----------------------------------------------------------------------------
+
+
+@query(
+    "order_line_parity",
+    "SELECT coalesce(o.k, l.k) AS k, CASE WHEN l.k IS NULL THEN 'left_only' ELSE 'right_only' END AS side "
+    "FROM (SELECT DISTINCT o_orderkey AS k FROM orders) o FULL OUTER JOIN (SELECT DISTINCT l_orderkey AS k FROM lineitem) l ON o.k = l.k WHERE o.k IS NULL OR l.k IS NULL",
+)
+def order_line_parity(s, d):
+    return relops.parity(t(s, d, "orders").select(F.col("o_orderkey").alias("k")), t(s, d, "lineitem").select(F.col("l_orderkey").alias("k")), ["k"])
+
+
+@query(
+    "supplier_customer_nation_ledger",
+    "WITH o AS (SELECT s_nationkey AS k, count(*) AS n FROM supplier GROUP BY 1), e AS (SELECT c_nationkey AS k, count(*) AS n FROM customer GROUP BY 1) "
+    "SELECT coalesce(o.k, e.k) AS k, o.n AS observed, e.n AS expected, CASE WHEN e.k IS NULL THEN 'unlisted' WHEN o.k IS NULL THEN 'missing' ELSE 'changed' END AS kind "
+    "FROM o FULL OUTER JOIN e ON o.k = e.k WHERE e.k IS NULL OR o.k IS NULL OR o.n IS DISTINCT FROM e.n",
+)
+def supplier_customer_nation_ledger(s, d):
+    o = t(s, d, "supplier").groupBy(F.col("s_nationkey").alias("k")).agg(F.count("*").alias("n"))
+    e = t(s, d, "customer").groupBy(F.col("c_nationkey").alias("k")).agg(F.count("*").alias("n"))
+    return ratchet.ledger_parity(o, e, ["k"], "n")
+
+
+# --- class E: equal keys, different values -------------------------------------------------------
+
+
+@query(
+    "order_total_mismatch",
+    "WITH x AS (SELECT l_orderkey AS k, sum(l_extendedprice * (1 - l_discount) * (1 + l_tax)) AS total FROM lineitem GROUP BY 1) "
+    "SELECT o.o_orderkey AS k, round(o.o_totalprice, 2) AS total_left, round(x.total, 2) AS total_right FROM orders o JOIN x ON o.o_orderkey = x.k WHERE abs(o.o_totalprice - x.total) > 50000",
+)
+def order_total_mismatch(s, d):
+    o = t(s, d, "orders").select(F.col("o_orderkey").alias("k"), F.col("o_totalprice").alias("total"))
+    x = t(s, d, "lineitem").groupBy(F.col("l_orderkey").alias("k")).agg(F.sum(F.col("l_extendedprice") * (1 - F.col("l_discount")) * (1 + F.col("l_tax"))).alias("total"))
+    out = relops.differing(o, x, ["k"], ["total"], tolerance=50000.0)
+    return out.select("k", F.round("total_left", 2).alias("total_left"), F.round("total_right", 2).alias("total_right"))
+
+
+@query("document_length_mismatch", "SELECT doc_id, n_chars AS n_left, CAST(strlen(text) AS BIGINT) AS n_right FROM documents WHERE n_chars IS DISTINCT FROM strlen(text)")
+def document_length_mismatch(s, d):
+    """Documents whose characters aren't single bytes."""
+    n = F.octet_length("text").cast("bigint")
+    return t(s, d, "documents").where(~F.col("n_chars").eqNullSafe(n)).select("doc_id", F.col("n_chars").alias("n_left"), n.alias("n_right"))
+
+
+# --- class G: groups -----------------------------------------------------------------------------
+
+
+@query(
+    "repeated_lines",
+    "SELECT line, count(DISTINCT doc_id) AS docs, count(*) AS n FROM (SELECT doc_id, unnest(string_split(text, chr(10))) AS line FROM documents) WHERE length(line) > 0 GROUP BY 1 HAVING count(DISTINCT doc_id) > 1",
+)
+def repeated_lines(s, d):
+    # two partial aggregates: a line that many documents share is counted before it is shuffled
+    one = text.lines(t(s, d, "documents"), F.col("doc_id")).where(F.length("text") > 0).groupBy("text", "path").agg(F.count("*").alias("k"))
+    return relops.groups_having(one, ["text"], "docs > 1", docs=F.count("*"), n=F.sum("k")).withColumnRenamed("text", "line")
 
-    docs = spark.read.parquet(f"{sf_dir}/documents.parquet").select("doc_id")
-    bare = docs.join(spark.read.parquet(f"{sf_dir}/labels.parquet").select("doc_id"), "doc_id", "left_anti")
-    path, rule, message = F.concat(F.lit("doc/"), F.col("doc_id").cast("string")), F.lit("unlabelled"), F.lit("no label covers this document")
-    return bare.select(path.alias("path"), rule.alias("rule"), message.alias("message"), F.concat_ws("::", rule, path, message).alias("key"))
+
+@query(
+    "majority_outliers",
+    "WITH m AS (SELECT s_nationkey AS family, s_suppkey AS member, s_acctbal > 0 AS guarded FROM supplier), f AS (SELECT family, count(*) AS family_size, count(*) FILTER (WHERE guarded) AS guarded_count FROM m GROUP BY 1) "
+    "SELECT m.family, m.member, f.family_size, f.guarded_count FROM m JOIN f USING (family) WHERE NOT m.guarded AND family_size >= 3 AND guarded_count >= 0.6 * family_size AND guarded_count < family_size",
+)
+def majority_outliers(s, d):
+    m = t(s, d, "supplier").select(F.col("s_nationkey").alias("family"), F.col("s_suppkey").alias("member"), (F.col("s_acctbal") > 0).alias("guarded"))
+    return relops.majority_outliers(m, ["family"], "guarded").select("family", "member", "family_size", "guarded_count")
+
+
+@query(
+    "suppliers_in_all_regions",
+    "WITH h AS (SELECT DISTINCT l.l_suppkey AS holder, n.n_regionkey AS value FROM lineitem l JOIN orders o ON l.l_orderkey = o.o_orderkey JOIN customer c ON o.o_custkey = c.c_custkey JOIN nation n ON c.c_nationkey = n.n_nationkey) "
+    "SELECT holder FROM h GROUP BY 1 HAVING count(*) = (SELECT count(*) FROM region)",
+)
+def suppliers_in_all_regions(s, d):
+    l, o, c, n = t(s, d, "lineitem"), t(s, d, "orders"), t(s, d, "customer"), t(s, d, "nation")
+    j = l.join(o, F.col("l_orderkey") == F.col("o_orderkey")).join(c, F.col("o_custkey") == F.col("c_custkey")).join(n, F.col("c_nationkey") == F.col("n_nationkey"))
+    return relops.holders_of_all(j.select(F.col("l_suppkey").alias("holder"), F.col("n_regionkey").alias("value")), t(s, d, "region").select(F.col("r_regionkey").alias("value")), "holder", "value")
+
+
+@query(
+    "recurring_part_sets",
+    "WITH s AS (SELECT l_orderkey AS site, min(l_suppkey) AS module, list_sort(list(DISTINCT l_returnflag)) AS v FROM lineitem GROUP BY 1) "
+    "SELECT array_to_string(v, ',') AS v, count(*) AS sites, count(DISTINCT module) AS modules FROM s WHERE len(v) >= 2 GROUP BY 1 HAVING count(DISTINCT module) >= 2",
+)
+def recurring_part_sets(s, d):
+    l = t(s, d, "lineitem")
+    module = l.groupBy("l_orderkey").agg(F.min("l_suppkey").alias("module"))
+    rows = l.join(module, "l_orderkey").select(F.col("l_orderkey").alias("site"), "module", F.col("l_returnflag").alias("value"))
+    return similarity.recurring_sets(rows, "site", "module", "value", 2).select(F.array_join("values", ",").alias("v"), "sites", "modules")
+
+
+# --- class S: copies -----------------------------------------------------------------------------
+
+
+@query(
+    "exact_duplicate_documents",
+    "WITH g AS (SELECT text, min(doc_id) AS first_id, count(*) AS copies FROM documents WHERE text IS NOT NULL GROUP BY 1 HAVING count(*) > 1) SELECT d.doc_id, g.first_id, g.copies FROM documents d JOIN g ON d.text = g.text WHERE d.doc_id > g.first_id",
+)
+def exact_duplicate_documents(s, d):
+    return similarity.exact_copies(t(s, d, "documents"), "text", "doc_id")
+
+
+@query(
+    "benchmark_in_documents",
+    "SELECT d.doc_id, b.item_id FROM benchmark b JOIN documents d ON contains(d.text, b.text) WHERE len(regexp_split_to_array(b.text, '\\s+')) >= 7",
+)
+def benchmark_in_documents(s, d):
+    """Passages of seven words or more that lie whole in a document.
+
+    A passage's second to sixth words stand in any text that holds it as whole words, so pairs meet in an
+    equi-join of 5-word shingles, and only those are compared.
+    """
+    b = t(s, d, "benchmark").withColumn("w", F.split("text", r"\s+")).where(F.size("w") >= 7)
+    b = b.select("item_id", F.col("text").alias("passage"), F.xxhash64(F.slice("w", 2, 5)).alias("h"))
+    docs = t(s, d, "documents").select("doc_id", "text")
+    words = docs.select("doc_id", F.split("text", r"\s+").alias("w")).where(F.size("w") >= 5)
+    windows = words.select("doc_id", F.explode(similarity.shingles(F.col("w"), 5)).alias("h"))
+    hits = windows.join(b.select("item_id", "h"), "h").select("doc_id", "item_id").distinct()
+    return hits.join(b.select("item_id", "passage"), "item_id").join(docs, "doc_id").where(F.contains("text", "passage")).select("doc_id", "item_id")
+
+
+@query("near_copies_of_documents")
+def near_copies_of_documents(s, d):
+    bodies = t(s, d, "documents").select(F.col("doc_id").alias("fn_id"), F.split("text", r"\s+").alias("tokens")).where(F.size("tokens") >= 20)
+    return similarity.near_copies(bodies, max_tokens=600)
+
+
+@query("near_copy_candidates")
+def near_copy_candidates(s, d):
+    bodies = t(s, d, "documents").select(F.col("doc_id").alias("fn_id"), F.split("text", r"\s+").alias("tokens")).where(F.size("tokens") >= 20)
+    return similarity.near_candidates(bodies)
+
+
+@query("drifted_part_names")
+def drifted_part_names(s, d):
+    p = t(s, d, "part").select("p_brand", "p_partkey", F.concat_ws(" ", "p_type", "p_size").alias("body"))
+    return similarity.drifted_copies(p, ["p_brand"], "p_partkey", "body", 0.8)
+
+
+# --- class N: ratchets ---------------------------------------------------------------------------
+
+HALVES = "WITH a AS (SELECT event_type || '/' || CAST(user_id AS VARCHAR) AS key, count(*) AS n FROM events WHERE event_id % 2 = 0 GROUP BY 1), b AS (SELECT event_type || '/' || CAST(user_id AS VARCHAR) AS key, count(*) AS n FROM events WHERE event_id % 2 = 1 GROUP BY 1) "
+
+
+def halves(s, d):
+    e = t(s, d, "events").select("event_id", F.concat_ws("/", "event_type", F.col("user_id").cast("string")).alias("key"))
+    return ratchet.counted(e.where("event_id % 2 = 0")), ratchet.counted(e.where("event_id % 2 = 1"))
+
+
+@query(
+    "multiset_diff_events",
+    HALVES + "SELECT coalesce(a.key, b.key) AS key, CAST(greatest(coalesce(a.n, 0) - coalesce(b.n, 0), 0) AS INTEGER) AS n_new, CAST(greatest(coalesce(b.n, 0) - coalesce(a.n, 0), 0) AS INTEGER) AS n_stale "
+    "FROM a FULL OUTER JOIN b ON a.key = b.key WHERE coalesce(a.n, 0) <> coalesce(b.n, 0)",
+)
+def multiset_diff_events(s, d):
+    return ratchet.multiset_diff(*halves(s, d))
+
+
+@query(
+    "shrink_only_events",
+    HALVES + "SELECT coalesce(a.key, b.key) AS key, CAST(CASE WHEN a.n IS NOT NULL AND b.n IS NOT NULL THEN least(a.n, b.n) END AS INTEGER) AS kept, (b.n IS NOT NULL AND (a.n IS NULL OR b.n > a.n + 1)) AS grown "
+    "FROM a FULL OUTER JOIN b ON a.key = b.key WHERE (a.n IS NOT NULL AND b.n IS NOT NULL) OR (b.n IS NOT NULL AND (a.n IS NULL OR b.n > a.n + 1))",
+)
+def shrink_only_events(s, d):
+    return ratchet.shrink_only(*halves(s, d), slack=1)
+
+
+@query(
+    "except_all_events",
+    "SELECT user_id, event_type FROM (SELECT user_id, event_type FROM events WHERE event_id % 3 = 0 EXCEPT ALL SELECT user_id, event_type FROM events WHERE event_id % 3 = 1)",
+)
+def except_all_events(s, d):
+    e = t(s, d, "events")
+    return e.where("event_id % 3 = 0").select("user_id", "event_type").exceptAll(e.where("event_id % 3 = 1").select("user_id", "event_type"))
+
+
+# --- class T: histories --------------------------------------------------------------------------
+
+
+@query(
+    "value_shrinks",
+    "SELECT user_id, event_id, value, previous FROM (SELECT user_id, event_id, value, lag(value) OVER (PARTITION BY user_id ORDER BY ts, event_id) AS previous FROM events) WHERE value < previous",
+)
+def value_shrinks(s, d):
+    return temporal.shrinks(t(s, d, "events").select("user_id", "event_id", "ts", "value"), ["user_id"], ["ts", "event_id"], "value").drop("ts")
+
+
+@query(
+    "red_streaks",
+    "WITH g AS (SELECT user_id, max((ts, event_id)) AS g FROM events WHERE event_type <> 'error' GROUP BY 1), r AS (SELECT e.user_id, e.ts, e.event_id, g.g FROM events e LEFT JOIN g USING (user_id) WHERE e.event_type = 'error') "
+    "SELECT user_id, min(ts) AS red_since, count(*) AS n_red, bool_or(g IS NULL) AS lower_bound FROM r WHERE g IS NULL OR (ts, event_id) > g GROUP BY 1",
+)
+def red_streaks(s, d):
+    e = t(s, d, "events").select("user_id", "event_id", "ts", F.when(F.col("event_type") == "error", "failure").otherwise("success").alias("conclusion"))
+    return temporal.red_streaks(e, ["user_id"], id="event_id", at="ts")
+
+
+@query(
+    "drift_of_event_types",
+    "WITH m AS (SELECT (min(event_id) + max(event_id)) / 2 AS m FROM events), a AS (SELECT event_type || CAST(user_id % 50 AS VARCHAR) AS finder, count(*) AS n FROM events, m WHERE event_id < m AND event_id % 5 <> 0 GROUP BY 1), "
+    "b AS (SELECT event_type || CAST(user_id % 50 AS VARCHAR) AS finder, count(*) AS n FROM events, m WHERE event_id >= m GROUP BY 1) "
+    "SELECT * FROM (SELECT coalesce(a.finder, b.finder) AS finder, a.n AS before, b.n AS after, CASE WHEN b.n IS NULL THEN 'gone' WHEN a.n IS NULL THEN 'new' WHEN b.n - a.n > 5 AND b.n > a.n * 1.2 THEN 'jump' END AS kind "
+    "FROM a FULL OUTER JOIN b ON a.finder = b.finder) WHERE kind IS NOT NULL",
+)
+def drift_of_event_types(s, d):
+    e = t(s, d, "events").select("event_id", F.concat("event_type", (F.col("user_id") % 50).cast("string")).alias("finder"))
+    m = e.agg(((F.min("event_id") + F.max("event_id")) / 2).alias("m"))
+    e = e.crossJoin(F.broadcast(m))  # one row
+    a = e.where("event_id < m and event_id % 5 <> 0").groupBy("finder").agg(F.count("*").alias("count"))
+    b = e.where("event_id >= m").groupBy("finder").agg(F.count("*").alias("count"))
+    return temporal.drift(a, b, ["finder"])
+
+
+@query(
+    "price_trend",
+    "SELECT o_orderpriority, arg_min(o_totalprice, (o_orderdate, o_orderkey)) AS first, arg_max(o_totalprice, (o_orderdate, o_orderkey)) AS last, count(*) AS n, min(o_totalprice) <> max(o_totalprice) AS moved FROM orders GROUP BY 1",
+)
+def price_trend(s, d):
+    o = t(s, d, "orders").select("o_orderpriority", F.struct("o_orderdate", "o_orderkey").alias("at"), "o_totalprice")
+    return ratchet.trend(o, "o_orderpriority", "at", "o_totalprice")
+
+
+@query(
+    "order_age_bands",
+    "SELECT o_orderkey, CAST(date_diff('day', CAST(o_orderdate AS DATE), DATE '1998-12-01') AS INTEGER) AS age_days, CASE WHEN date_diff('day', CAST(o_orderdate AS DATE), DATE '1998-12-01') > 2000 THEN 'stale' ELSE 'warn' END AS band "
+    "FROM orders WHERE date_diff('day', CAST(o_orderdate AS DATE), DATE '1998-12-01') > 1800",
+)
+def order_age_bands(s, d):
+    o = t(s, d, "orders").select("o_orderkey", F.to_date("o_orderdate").alias("at"))
+    return temporal.age_bands(o, "at", F.to_date(F.lit("1998-12-01")), 2000, 200).where("band is not null").select("o_orderkey", "age_days", "band")
+
+
+@query(
+    "last_purchase_before_error",
+    "SELECT e.event_id, (SELECT max_by(p.value, p.ts) FROM events p WHERE p.user_id = e.user_id AND p.event_type = 'purchase' AND p.ts <= e.ts) AS last_value FROM events e WHERE e.event_type = 'error'",
+)
+def last_purchase_before_error(s, d):
+    e = t(s, d, "events")
+    rows = e.where("event_type = 'error'").select("event_id", "user_id", "ts")
+    return relops.last_before(rows, e.where("event_type = 'purchase'").select("user_id", "ts", "value"), ["user_id"], "ts", "value", "last_value").select("event_id", "last_value")
+
+
+# --- statistics ----------------------------------------------------------------------------------
+
+
+@query(
+    "spearman_by_event_type",
+    "WITH r AS (SELECT event_type, rank() OVER (PARTITION BY event_type ORDER BY value) + (count(*) OVER (PARTITION BY event_type, value) - 1) / 2.0 AS rx, "
+    "rank() OVER (PARTITION BY event_type ORDER BY user_id) + (count(*) OVER (PARTITION BY event_type, user_id) - 1) / 2.0 AS ry FROM events WHERE value IS NOT NULL) "
+    "SELECT event_type, count(*) AS n, round(corr(rx, ry), 6) AS rho FROM r GROUP BY 1",
+)
+def spearman_by_event_type(s, d):
+    return stats.spearman(t(s, d, "events"), ["event_type"], "value", "user_id").withColumn("rho", F.round("rho", 6))
+
+
+@query(
+    "stable_moments",
+    "WITH m AS (SELECT l_returnflag AS g, avg(l_extendedprice) AS mean FROM lineitem GROUP BY 1) "
+    "SELECT g, count(*) AS n, round(avg(l_extendedprice), 4) AS mean, round(var_pop(l_extendedprice) / 1000, 3) AS variance, round(avg(power(l_extendedprice - m.mean, 3)) / power(sqrt(avg(power(l_extendedprice - m.mean, 2))), 3), 6) AS skewness "
+    "FROM lineitem JOIN m ON l_returnflag = g GROUP BY 1",
+)
+def stable_moments(s, d):
+    m = stats.moments(t(s, d, "lineitem"), ["l_returnflag"], "l_extendedprice")
+    return m.select(F.col("l_returnflag").alias("g"), "n", F.round("mean", 4).alias("mean"), F.round(F.col("variance") / 1000, 3).alias("variance"), F.round("skewness", 6).alias("skewness"))
+
+
+# --- text ----------------------------------------------------------------------------------------
+
+
+@query(
+    "debt_markers",
+    "WITH l AS (SELECT path, CAST(i AS INTEGER) AS line, x[i] AS text FROM (SELECT 'doc/' || doc_id AS path, string_split('# ' || (CASE doc_id % 4 WHEN 0 THEN 'TODO' WHEN 1 THEN 'fixme (ann)' WHEN 2 THEN 'XXXL' ELSE 'none' END) || ' ' || left(replace(text, chr(10), ' '), 20) || chr(10) || text, chr(10)) AS x FROM documents), range(1, 5) r(i) WHERE i <= len(x)) "
+    "SELECT path, line, upper(regexp_extract(text, '(?i)#\\s*(TODO|FIXME|XXX|HACK)\\b', 1)) AS marker, regexp_matches(text, '\\([^)]*\\)|\\d{4}-\\d{2}-\\d{2}|@\\w+') AS attributed FROM l WHERE regexp_matches(text, '(?i)#\\s*(TODO|FIXME|XXX|HACK)\\b')",
+)
+def debt_markers(s, d):
+    """Markers in the first four lines of documents that carry a planted first line."""
+    k = F.col("doc_id") % 4
+    planted = F.concat(F.lit("# "), F.when(k == 0, "TODO").when(k == 1, "fixme (ann)").when(k == 2, "XXXL").otherwise("none"), F.lit(" "), F.left(F.translate("text", "\n", " "), F.lit(20)), F.lit("\n"), F.col("text"))
+    docs = t(s, d, "documents").select("doc_id", planted.alias("text"))
+    found = text.markers(text.lines(docs, F.concat(F.lit("doc/"), F.col("doc_id").cast("string"))).where("line <= 4"))
+    return found.select("path", "line", "marker", "attributed")
+
+
+@query(
+    "glyph_lines",
+    "SELECT doc_id, CAST(count(*) AS BIGINT) AS n FROM (SELECT doc_id, unnest(string_split(text, chr(10))) AS x FROM documents) WHERE regexp_matches(x, '[^\\x00-\\x7F]') GROUP BY 1",
+)
+def glyph_lines(s, d):
+    return text.glyph_lines(text.lines(t(s, d, "documents"), F.col("doc_id"))).groupBy(F.col("path").alias("doc_id")).agg(F.count("*").alias("n"))
+
+
+@query(
+    "keyed_lines",
+    "WITH l AS (SELECT doc_id, i AS line, trim(regexp_replace(x[i], '\\s+', ' ', 'g')) AS t FROM (SELECT doc_id, string_split(text, chr(10)) AS x FROM documents), range(1, 4000) r(i) WHERE i <= len(x)), "
+    "n AS (SELECT doc_id, line, t, row_number() OVER (PARTITION BY doc_id, t ORDER BY line) AS k FROM l) SELECT doc_id || '::' || t || ' #' || k AS key FROM n WHERE k > 1",
+)
+def keyed_lines(s, d):
+    out = text.keyed_lines(text.lines(t(s, d, "documents"), F.col("doc_id").cast("string")))
+    return out.where(F.col("key").rlike(r" #\d+$") & (F.length("key") > F.length(text.line_key(F.col("text"))) + F.length("path") + 2)).select("key")
+
+
+CUES = (("toxic", "worthless"), ("toxic", "trash"), ("toxic", "pathetic"), ("mild", "or"))
+
+
+@query(
+    "cue_agreement",
+    "WITH x AS (SELECT l.doc_id, CASE l.toxic WHEN 1 THEN 'toxic' ELSE '' END AS declared, regexp_matches(lower(d.text), '\\b(worthless|trash|pathetic)\\b') AS tox, regexp_matches(lower(d.text), '\\bor\\b') AS mild FROM labels l JOIN documents d USING (doc_id)) "
+    "SELECT doc_id, declared, CASE WHEN tox THEN 'toxic' WHEN mild THEN 'mild' END AS cued, CASE WHEN declared = 'toxic' AND tox THEN 'agree' WHEN NOT tox AND NOT mild THEN 'uncheckable' ELSE 'contradict' END AS verdict, "
+    "CASE WHEN (declared = 'toxic' AND tox) OR (NOT tox AND NOT mild) THEN NULL WHEN declared = '' THEN 'unfilled_but_cued' ELSE 'declared_opposes_text' END AS kind FROM x",
+)
+def cue_agreement(s, d):
+    rows = t(s, d, "labels").join(t(s, d, "documents").select("doc_id", F.regexp_replace("text", "[-_]", "\u0001").alias("text")), "doc_id")
+    rows = rows.select("doc_id", F.when(F.col("toxic") == 1, "toxic").otherwise("").alias("declared"), "text")
+    return text.cue_agreement(rows, "doc_id", "declared", "text", CUES)
+
+
+@query("mojibake_lines")
+def mojibake_lines(s, d):
+    """Lines of documents, of which every tenth document's accents were read in the wrong code page first."""
+    broken = F.when(F.col("doc_id") % 10 == 0, F.concat(F.lit("РџСЂРёРІРµС‚ "), F.col("text"))).otherwise(F.col("text"))
+    return text.mojibake(text.lines(t(s, d, "documents").select("doc_id", broken.alias("text")), F.col("doc_id"))).select("path", "line", "was", "means")
+
+
+# --- class R: graphs -----------------------------------------------------------------------------
+
+EDGES = "WITH RECURSIVE e AS (SELECT DISTINCT c_custkey % 97 AS src, (c_custkey * 7 + c_nationkey) % 97 AS dst FROM customer WHERE c_custkey % 3 = 0 AND c_custkey < 300 UNION SELECT 200 + c_nationkey, 200 + (c_nationkey + 1) % 5 FROM customer WHERE c_nationkey < 5), "
+
+
+def edges(s, d):
+    c = t(s, d, "customer")
+    a = c.where("c_custkey % 3 = 0 and c_custkey < 300").selectExpr("c_custkey % 97 as src", "(c_custkey * 7 + c_nationkey) % 97 as dst")
+    return a.union(c.where("c_nationkey < 5").selectExpr("cast(200 + c_nationkey as bigint) as src", "cast(200 + (c_nationkey + 1) % 5 as bigint) as dst")).distinct()
+
+
+@query(
+    "reachable_nodes",
+    EDGES + "r AS (SELECT 0::BIGINT AS node, 0 AS depth UNION SELECT e.dst, r.depth + 1 FROM r JOIN e ON e.src = r.node WHERE r.depth < 60) SELECT node, CAST(min(depth) AS INTEGER) AS depth FROM r GROUP BY 1",
+)
+def reachable_nodes(s, d):
+    return graph.reachable(edges(s, d), s.createDataFrame([(0,)], "node bigint")).select("node", "depth")
+
+
+@query(
+    "cycle_members",
+    EDGES + "r AS (SELECT src AS a, dst AS b FROM e WHERE src <> dst UNION SELECT r.a, e.dst FROM r JOIN e ON e.src = r.b WHERE e.src <> e.dst) "
+    "SELECT x.a AS node, least(x.a, min(x.b)) AS cycle FROM r x JOIN r y ON x.a = y.b AND x.b = y.a WHERE x.a <> x.b GROUP BY 1",
+)
+def cycle_members(s, d):
+    return graph.cycles(edges(s, d))
+
+
+@query(
+    "connected_components",
+    EDGES + "u AS (SELECT src AS a, dst AS b FROM e UNION SELECT dst, src FROM e), r AS (SELECT a, b FROM u UNION SELECT r.a, u.b FROM r JOIN u ON u.a = r.b) SELECT a AS node, least(a, min(b)) AS component FROM r GROUP BY 1",
+)
+def connected_components(s, d):
+    return graph.components(edges(s, d))
