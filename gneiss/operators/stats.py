@@ -32,9 +32,9 @@ def spearman(rows: DataFrame, by: Sequence[str], x: str, y: str, min_pairs: int
     """by, n, rho: correlation of average ranks. Pairs with NaN or null are left out; too few pairs or a constant side give NaN."""
     ok = rows.select(*by, F.col(x).cast("double").alias("_x"), F.col(y).cast("double").alias("_y")).where("_x is not null and _y is not null and not isnan(_x) and not isnan(_y)")
     ranked = average_ranks(average_ranks(ok, by, "_x", "_rx"), by, "_y", "_ry")
-    out = ranked.groupBy(*by).agg(F.count("*").alias("n"), F.corr("_rx", "_ry").alias("_c"), F.stddev_pop("_rx").alias("_sx"), F.stddev_pop("_ry").alias("_sy"))
+    out = ranked.groupBy(*by).agg(F.count("*").alias("n"), F.covar_pop("_rx", "_ry").alias("_c"), F.stddev_pop("_rx").alias("_sx"), F.stddev_pop("_ry").alias("_sy"))
     nan = F.lit(float("nan"))
-    return out.select(*by, "n", F.when((F.col("n") < min_pairs) | (F.col("_sx") == 0) | (F.col("_sy") == 0) | F.col("_c").isNull(), nan).otherwise(F.col("_c")).alias("rho"))
+    return out.select(*by, "n", F.when((F.col("n") < min_pairs) | (F.col("_sx") == 0) | (F.col("_sy") == 0) , nan).otherwise(F.try_divide("_c", F.col("_sx") * F.col("_sy"))).alias("rho"))
 
 
 def moments(rows: DataFrame, by: Sequence[str], value: str) -> DataFrame:

@@ -287,12 +287,12 @@ def price_trend(s, d):
 
 @query(
     "order_age_bands",
-    "SELECT o_orderkey, CAST(date_diff('day', CAST(o_orderdate AS DATE), DATE '1998-12-01') AS INTEGER) AS age_days, CASE WHEN date_diff('day', CAST(o_orderdate AS DATE), DATE '1998-12-01') > 2000 THEN 'stale' ELSE 'warn' END AS band "
-    "FROM orders WHERE date_diff('day', CAST(o_orderdate AS DATE), DATE '1998-12-01') > 1800",
+    "SELECT o_orderkey, CAST(date_diff('day', CAST(o_orderdate AS DATE), DATE '2001-08-01') AS INTEGER) AS age_days, CASE WHEN date_diff('day', CAST(o_orderdate AS DATE), DATE '2001-08-01') > 2000 THEN 'stale' ELSE 'warn' END AS band "
+    "FROM orders WHERE date_diff('day', CAST(o_orderdate AS DATE), DATE '2001-08-01') > 1800",
 )
 def order_age_bands(s, d):
     o = t(s, d, "orders").select("o_orderkey", F.to_date("o_orderdate").alias("at"))
-    return temporal.age_bands(o, "at", F.to_date(F.lit("1998-12-01")), 2000, 200).where("band is not null").select("o_orderkey", "age_days", "band")
+    return temporal.age_bands(o, "at", F.to_date(F.lit("2001-08-01")), 2000, 200).where("band is not null").select("o_orderkey", "age_days", "band")
 
 
 @query(
@@ -420,3 +420,74 @@ def cycle_members(s, d):
 )
 def connected_components(s, d):
     return graph.components(edges(s, d))
+
+
+# --- audit rules over Python source --------------------------------------------------------------
+
+
+def _rule_files(s, kind: str) -> DataFrame:
+    from gneiss.plans.rules import RULES
+
+    rows = [(f"{r.name}/{p}", x) for r in RULES.values() for p, x in getattr(r, kind).items()]
+    return s.createDataFrame(rows, "path string, text string")
+
+
+@query("code_audit_of_seeded_violations")
+def code_audit_of_seeded_violations(s, d):
+    """All rules over the corpus of their own seeded violations: rule and the number of findings."""
+    from gneiss.plans import rules
+
+    found, _ = rules.audit(s, _rule_files(s, "bad"))
+    return found.groupBy("rule", "severity").agg(F.count("*").alias("n"))
+
+
+@query(
+    "rollup_revenue",
+    "SELECT l_returnflag, l_linestatus, count(*) AS n, round(sum(l_quantity), 2) AS qty FROM lineitem GROUP BY ROLLUP (l_returnflag, l_linestatus)",
+)
+def rollup_revenue(s, d):
+    return t(s, d, "lineitem").rollup("l_returnflag", "l_linestatus").agg(F.count("*").alias("n"), F.round(F.sum("l_quantity"), 2).alias("qty"))
+
+
+@query(
+    "table_digest",
+    "SELECT sha256(string_agg(x, '' ORDER BY x)) AS digest FROM (SELECT sha256(n_nationkey || '|' || n_name || '|' || n_regionkey) AS x FROM nation)",
+)
+def table_digest(s, d):
+    """Digest of a small dimension, whole and in a fixed order; for large tables see ``contracts.digest``."""
+    x = t(s, d, "nation").select(F.sha2(F.concat_ws("|", "n_nationkey", "n_name", "n_regionkey"), 256).alias("x"))
+    return x.agg(F.sha2(F.array_join(F.array_sort(F.collect_list("x")), ""), 256).alias("digest"))
+
+
+@query(
+    "event_props",
+    "SELECT event_id, CAST(json_extract(props, '$.k') AS BIGINT) AS k FROM events WHERE json_extract(props, '$.k') IS NOT NULL",
+)
+def event_props(s, d):
+    return t(s, d, "events").select("event_id", F.get_json_object("props", "$.k").cast("bigint").alias("k")).where("k is not null")
+
+
+@query(
+    "top_orders_per_segment",
+    "SELECT c_mktsegment, o_orderkey, rn FROM (SELECT c_mktsegment, o_orderkey, CAST(row_number() OVER (PARTITION BY c_mktsegment ORDER BY o_totalprice DESC, o_orderkey) AS INTEGER) AS rn FROM orders JOIN customer ON o_custkey = c_custkey) WHERE rn <= 3",
+)
+def top_orders_per_segment(s, d):
+    """A rank filter, which the engine pushes below the shuffle as a per-task group limit."""
+    from pyspark.sql import Window as W
+
+    j = t(s, d, "orders").join(t(s, d, "customer"), F.col("o_custkey") == F.col("c_custkey"))
+    rn = F.row_number().over(W.partitionBy("c_mktsegment").orderBy(F.desc("o_totalprice"), "o_orderkey"))
+    return j.withColumn("rn", rn).where("rn <= 3").select("c_mktsegment", "o_orderkey", "rn")
+
+
+@query(
+    "index_cover",
+    "WITH i AS (SELECT * FROM (VALUES ('a', ['x'], false), ('b', ['x', 'y'], false), ('c', ['y'], true), ('d', ['y', 'z'], false)) v(name, cols, is_unique)) "
+    "SELECT a.name, min(b.name) AS covered_by FROM i a JOIN i b ON a.name <> b.name AND len(a.cols) < len(b.cols) AND b.cols[1:len(a.cols)] = a.cols AND NOT a.is_unique GROUP BY 1",
+)
+def index_cover(s, d):
+    from gneiss.operators.schema import covering_indexes
+
+    i = s.createDataFrame([("a", ["x"], False), ("b", ["x", "y"], False), ("c", ["y"], True), ("d", ["y", "z"], False)], "name string, cols array<string>, is_unique boolean")
+    full = i.select("name", F.lit("btree").alias("method"), F.lit("t").alias("tbl"), F.col("cols").alias("columns"), F.transform("cols", lambda c: F.lit(False)).alias("descending"), F.transform("cols", lambda c: F.lit(False)).alias("nulls_first"), F.lit(None).cast("string").alias("predicate"), "is_unique", F.array().cast("array<string>").alias("include"))
+    return covering_indexes(full).select("name", "covered_by")
