@@ -1,5 +1,147 @@
-"""DuckDB SQL of the queries that SQL can express over whole tables."""
+"""DuckDB SQL of the queries that SQL can express over whole tables.
+
+Trained scores (op1, op2), the tokenizer (op6), the hash order of the mix (op8) and parsed pages (op10) have
+none; their tests hold them against plain versions.
+"""
 
 from __future__ import annotations
 
-ORACLES: dict[str, str] = {}
+from gneiss.llm.chat_format import CONTEXT, END, PROBE, TEXT, TURN
+from gneiss.llm.common import LOWER, UPPER
+from gneiss.llm.license_scan import PHRASES, TEMPLATES
+from gneiss.llm.quality_rules import BARS, BOILERPLATE, MARKS, MENU, SYMBOLS
+
+SPACES = r"[\x20\x09-\x0D]+"
+
+
+def quoted(items) -> str:
+    return ", ".join("'" + x.replace("'", "''") + "'" for x in items)
+
+
+QUALITY = rf"""
+WITH w AS (
+  SELECT doc_id, coalesce(text, '') AS t, list_filter(regexp_split_to_array(coalesce(text, ''), '{SPACES}'), lambda x: x <> '') AS ws FROM documents
+), tri AS (
+  SELECT doc_id, i, ws[i] || ' ' || ws[i + 1] || ' ' || ws[i + 2] AS g FROM (SELECT doc_id, ws, unnest(range(1, len(ws) - 1)) AS i FROM w)
+), rep AS (
+  SELECT doc_id, count(DISTINCT i + k) AS n FROM (SELECT doc_id, i, count(*) OVER (PARTITION BY doc_id, g) AS c FROM tri), (VALUES (0), (1), (2)) v(k) WHERE c > 1 GROUP BY 1
+), l AS (
+  SELECT doc_id, x AS line FROM (SELECT doc_id, unnest(string_split(t, chr(10))) AS x FROM w) WHERE regexp_matches(x, '[^\x20\x09-\x0D]')
+), u AS (
+  SELECT doc_id, line, len(list_filter(regexp_split_to_array(line, '{SPACES}'), lambda x: x <> '')) AS n, length(line) - length(regexp_replace(line, '[{SYMBOLS}]', '', 'g')) AS symbols,
+    length(line) - length(regexp_replace(line, '[{BARS}]', '', 'g')) AS bars, regexp_matches(line, '{MARKS}') AS marked, length(regexp_replace(line, '{SPACES}', '', 'g')) AS chars
+  FROM (SELECT DISTINCT doc_id, line FROM l)
+), k AS (
+  SELECT doc_id, sum(chars) AS chars FROM u WHERE NOT (
+    (symbols > 0 AND symbols > 0.3 * greatest(n, 1)) OR (bars >= 3 AND 2 * bars >= n) OR (NOT marked AND n >= 12) OR regexp_matches(lower(line), '{"|".join(BOILERPLATE)}')
+    OR (NOT marked AND n <= 8 AND len(list_filter(regexp_split_to_array(lower(line), '{SPACES}'), lambda x: x <> '' AND x NOT IN ({quoted(MENU)}))) = 0)) GROUP BY 1
+), b AS (
+  SELECT w.doc_id, CAST(len(ws) AS BIGINT) AS n_words, CAST(length(regexp_replace(t, '{SPACES}', '', 'g')) AS BIGINT) AS word_chars,
+    CAST(length(t) - length(regexp_replace(t, '[{SYMBOLS}]', '', 'g')) AS BIGINT) AS n_symbols,
+    CAST(coalesce((SELECT count(*) - count(DISTINCT line) FROM l WHERE l.doc_id = w.doc_id), 0) AS BIGINT) AS n_dup_lines, CAST(coalesce(rep.n, 0) AS BIGINT) AS n_repeat_words, coalesce(k.chars, 0) AS kept_chars
+  FROM w LEFT JOIN rep USING (doc_id) LEFT JOIN k USING (doc_id)
+), f AS (
+  SELECT *, (n_words < 50 OR 100 * n_repeat_words > 50 * n_words) AS base_failed, CASE WHEN word_chars = 0 THEN 0.0 ELSE kept_chars::DOUBLE / word_chars END AS kept_share FROM b
+)
+SELECT doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, base_failed, (NOT base_failed AND kept_share >= 0.3) AS kept, kept_share FROM f
+"""
+
+NOT_WORD = r"[\x00-\x2F\x3A-\x60\x7B-\x7F]+"
+
+LICENSES = rf"""
+WITH w AS (
+  SELECT doc_id, coalesce(text, '') AS t, list_filter(regexp_split_to_array(translate(coalesce(text, ''), '{UPPER}', '{LOWER}'), '{NOT_WORD}'), lambda x: x <> '') AS ws FROM documents
+), p AS (SELECT label, string_split(phrase, ' ') AS pw FROM (VALUES {", ".join(f"('{p}', '{x}')" for p, x in PHRASES)}) v(phrase, label)
+), hits AS (
+  SELECT doc_id, label, i - 1 AS i FROM (SELECT doc_id, ws, unnest(range(1, len(ws) + 1)) AS i FROM w), p WHERE ws[i] = pw[1] AND list_slice(ws, i, i + len(pw) - 1) = pw
+), base AS (
+  SELECT doc_id, count(*) AS n_base, min(i) AS first_word, max(i) AS last_word, list(DISTINCT label) AS labels FROM hits GROUP BY 1
+), tm AS (SELECT label, list_distinct(string_split(words, ' ')) AS tw FROM (VALUES {", ".join(f"('{x}', '{t}')" for x, t in TEMPLATES)}) v(label, words)
+), ln AS (
+  SELECT doc_id, list_distinct(list_filter(regexp_split_to_array(translate(x, '{UPPER}', '{LOWER}'), '{NOT_WORD}'), lambda y: y <> '')) AS lw FROM (SELECT doc_id, unnest(string_split(t, chr(10))) AS x FROM w)
+), m AS (
+  SELECT doc_id, list(DISTINCT label) AS labels, max(share) AS share
+  FROM (SELECT doc_id, label, len(list_intersect(lw, tw)) / len(tw)::DOUBLE AS share, len(list_intersect(lw, tw)) AS k, ceil(0.9 * len(tw) - 1e-9) AS need FROM ln, tm) WHERE k >= need GROUP BY 1
+)
+SELECT w.doc_id, CAST(len(ws) AS BIGINT) AS n_words, CAST(coalesce(n_base, 0) AS BIGINT) AS n_base, CAST(first_word AS BIGINT) AS first_word, CAST(last_word AS BIGINT) AS last_word,
+  coalesce(array_to_string(list_sort(base.labels), ','), '') AS base_labels,
+  array_to_string(list_sort(list_distinct(list_concat(coalesce(base.labels, []), coalesce(m.labels, [])))), ',') AS labels,
+  CASE WHEN coalesce(n_base, 0) > 0 THEN 1.0 ELSE coalesce(m.share, 0.0) END AS score
+FROM w LEFT JOIN base USING (doc_id) LEFT JOIN m USING (doc_id)
+"""
+
+SHINGLES = rf"""
+WITH RECURSIVE w AS (
+  SELECT doc_id, list_filter(regexp_split_to_array(translate(coalesce(text, ''), '{UPPER}', '{LOWER}'), '{SPACES}'), lambda x: x <> '') AS ws FROM documents
+), sh AS (
+  SELECT DISTINCT doc_id, array_to_string(list_slice(ws, i, i + 4), ' ') AS s FROM (SELECT doc_id, ws, unnest(range(1, greatest(len(ws) - 3, 2))) AS i FROM w WHERE len(ws) > 0)
+), n AS (SELECT doc_id, count(*) AS n, md5(string_agg(s, chr(10) ORDER BY s)) AS sig FROM sh GROUP BY 1
+), c AS (SELECT doc_id, n, min(doc_id) OVER (PARTITION BY sig) AS rep FROM n
+), one AS (SELECT sh.doc_id, s, n FROM sh JOIN c USING (doc_id) WHERE doc_id = rep
+), links AS (
+  SELECT a.doc_id AS x, b.doc_id AS y FROM one a JOIN one b ON a.s = b.s AND a.doc_id < b.doc_id GROUP BY 1, 2, a.n, b.n HAVING 100 * count(*) >= 80 * (a.n + b.n - count(*))
+), e AS (SELECT x AS a, y AS b FROM links UNION SELECT y, x FROM links
+), r AS (SELECT a, b FROM e UNION SELECT r.a, e.b FROM r JOIN e ON e.a = r.b
+), comp AS (SELECT a, least(a, min(b)) AS m FROM r GROUP BY 1)
+SELECT w.doc_id, CAST(coalesce(c.n, 0) AS BIGINT) AS n_shingles, coalesce(comp.m, c.rep, w.doc_id) AS component_id, coalesce(c.rep, w.doc_id) AS class_id
+FROM w LEFT JOIN c USING (doc_id) LEFT JOIN comp ON comp.a = c.rep
+"""
+
+
+def escaped(x: str) -> str:
+    return f"(length({x}) + length({x}) - length(replace({x}, '\\', '')) + (length({x}) - length(replace({x}, '<|', ''))) // 2)"
+
+
+CHAT = f"""
+WITH r AS (
+  SELECT conv_id, turn, coalesce(role, '') AS role, coalesce(text, '') AS text FROM conversations
+  UNION ALL SELECT -7, 0, 'user', '{PROBE}' UNION ALL SELECT -7, 1, 'assistant', '{PROBE}'
+), k AS (
+  SELECT *, greatest(len(list_filter(regexp_split_to_array(text, '{SPACES}'), lambda x: x <> '')), 1) AS tokens, row_number() OVER o AS place FROM r WINDOW o AS (PARTITION BY conv_id ORDER BY turn NULLS FIRST, role, text)
+), b AS (SELECT *, sum(tokens) OVER (PARTITION BY conv_id ORDER BY place) - tokens AS before FROM k
+), x AS (SELECT *, CAST(before AS BIGINT) // 1024 AS win FROM b
+), e AS (
+  SELECT *, max(before + tokens) OVER (PARTITION BY conv_id, win) AS fin, max(win) OVER (PARTITION BY conv_id) AS lastw,
+    {len(TURN + TEXT + END)} + {escaped("role")} + {escaped("text")} AS piece, place = 1 AND role = 'system' AS opens FROM x
+), h AS (SELECT conv_id, count(DISTINCT win) AS n_windows, max(CASE WHEN opens THEN piece + {len(CONTEXT) - len(TURN)} END) AS head FROM e GROUP BY 1)
+SELECT e.conv_id, CAST(count(*) AS BIGINT) AS n_turns, sha256(string_agg(role || chr(10) || text || chr(10), '' ORDER BY place)) AS turns_sha256,
+  CAST(coalesce(sum(length(text)) FILTER (WHERE role = 'assistant'), 0) AS BIGINT) AS loss_chars,
+  sha256(coalesce(string_agg(text, '' ORDER BY place) FILTER (WHERE role = 'assistant'), '')) AS loss_sha256,
+  CAST(sum(piece) + coalesce(sum(piece + {len(CONTEXT) - len(TURN)}) FILTER (WHERE win < lastw AND fin - before <= 128 AND NOT opens), 0) + (any_value(n_windows) - 1) * coalesce(any_value(head), 0) AS BIGINT) AS formatted_chars,
+  CAST(any_value(n_windows) AS BIGINT) AS n_windows
+FROM e JOIN h USING (conv_id) GROUP BY 1
+"""
+
+SECTION = r"\n[ \t\r]*\n"
+
+
+def root(t: str) -> str:
+    return (
+        f"sha256(array_to_string(list_transform(string_split_regex({t}, '{SECTION}'), lambda s: sha256(array_to_string(list_transform(string_split(s, chr(10)), lambda p: sha256(p)), ''))), '')"
+        f" || array_to_string(regexp_extract_all({t}, '{SECTION}'), ''))"
+    )
+
+
+def leaf_set(t: str) -> str:
+    return f"list_filter(list_distinct(string_split(replace(regexp_replace({t}, '([.!?]) ', '\\1' || chr(1), 'g'), chr(10), chr(1)), chr(1))), lambda x: x <> '')"
+
+
+MERKLE = f"""
+WITH d AS (SELECT doc_id, coalesce(text, '') AS t, row_number() OVER (ORDER BY doc_id) AS k, count(*) OVER () AS n FROM documents
+), j AS (SELECT a.doc_id, a.t, b.t AS nt, length(a.t) // 2 AS half FROM d a JOIN d b ON b.k = a.k % a.n + 1
+), e AS (SELECT *, left(t, length(t) - half) || left(nt, half) AS ed FROM j
+), f AS (SELECT *, {leaf_set("t")} AS tl, {leaf_set("ed")} AS el, {leaf_set("nt")} AS nl, {root("t")} AS fingerprint, {root("ed")} AS edited_fingerprint FROM e),
+g AS (SELECT *, len(list_intersect(tl, el)) AS te, len(list_intersect(tl, nl)) AS tn FROM f)
+SELECT doc_id, CAST(length(t) AS BIGINT) AS n_chars, sha256(ed) AS edited_sha256, fingerprint, edited_fingerprint,
+  CASE WHEN fingerprint = edited_fingerprint OR len(tl) + len(el) = 0 THEN 1.0 ELSE te / (len(tl) + len(el) - te)::DOUBLE END AS near_edited,
+  CASE WHEN len(tl) + len(nl) = 0 THEN 1.0 ELSE tn / (len(tl) + len(nl) - tn)::DOUBLE END AS near_next
+FROM g
+"""
+
+ORACLES: dict[str, str] = {
+    "op3_ngram_join": SHINGLES,
+    "op4_chat_format": CHAT,
+    "op5_merkle": MERKLE,
+    "op7_license_scan": LICENSES,
+    "op9_quality_rules": QUALITY,
+}
