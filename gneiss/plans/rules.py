@@ -139,6 +139,45 @@ rule("sibling_guard_missing", "P2", "WITH m AS (SELECT path, line, name, scope,
 rule("override_signature_drift", "P2", "WITH c AS (SELECT path, name, scope, explode(split(attrs['bases'], ',')) AS base FROM nodes WHERE kind = 'ClassDef'), f AS (SELECT path, line, name, scope, attrs['params'] AS params FROM nodes WHERE kind = 'FunctionDef' AND attrs['method'] = 'true'), o AS (SELECT c.base, f.name, explode(split(f.params, ',')) AS p FROM c JOIN f ON f.path = c.path AND f.scope = ltrim('.', c.scope || '.' || c.name)) SELECT f.path, f.line, f.scope || '.' || f.name || ' lacks ' || o.p AS message FROM o JOIN f ON f.scope = o.base AND f.name = o.name WHERE NOT array_contains(split(f.params, ','), o.p) GROUP BY f.path, f.line, f.scope, f.name, o.p HAVING count(*) >= 2", "class A:\n    def f(self):\n        g()\nclass B(A):\n    def f(self, x):\n        g()\nclass C(A):\n    def f(self, x):\n        g()\n", "class A:\n    def f(self, x):\n        g()\nclass B(A):\n    def f(self, x):\n        g()\nclass C(A):\n    def f(self, x):\n        g()\n")
 
 
+# --- further row-local rules ---
+local("polars_null_equality", "P1", "kind = 'Compare' AND attrs['ops'] RLIKE '^(Eq|NotEq)$' AND attrs['right'] = 'None' AND attrs['left'] RLIKE '(pl\\\\.)?col\\\\('", "'a null is equal to nothing'", "e = pl.col('a') == None\n", "e = pl.col('a').is_null()\n")
+local("connection_liveness_kwargs", "P2", f"{CALL} AND name RLIKE '(^|\\\\.)(psycopg2?|asyncpg)\\\\.connect$' AND NOT (contains(attrs['kwargs'], ',connect_timeout,') OR contains(attrs['kwargs'], ',timeout,') OR contains(attrs['kwargs'], ',**,'))", "'a dead peer is never noticed'", "c = psycopg2.connect(dsn)\n", "c = psycopg2.connect(dsn, connect_timeout=5)\n")
+local("no_xfail_to_defer", "P2", f"{CALL} AND is_test AND name RLIKE '(^|\\\\.)xfail$' AND NOT contains(attrs['kwargs'], ',strict,')", "'a known failure that may pass unseen'", test_file("@pytest.mark.xfail(reason='later')\ndef test_a():\n    assert f()\n"), test_file("@pytest.mark.xfail(reason='later', strict=True)\ndef test_a():\n    assert f()\n"))
+local("fail_message_quality", "Low", f"{CALL} AND is_test AND name = 'pytest.fail' AND length(attrs['text']) < 15", "'says nothing of what to do'", test_file("def test_a():\n    pytest.fail('bad')\n"), test_file("def test_a():\n    pytest.fail('regenerate the file with make x')\n"))
+local("git_child_env", "P2", f"{CALL} AND is_test AND name RLIKE '^subprocess\\\\.' AND attrs['args'] RLIKE '^\\\\[.git.' AND NOT contains(attrs['kwargs'], ',env,')", "'git inherits the environment'", test_file("def test_a():\n    subprocess.run(['git', 'init'])\n"), test_file("def test_a():\n    subprocess.run(['git', 'init'], env=ENV)\n"))
+local("env_flag_parsing", "Low", "kind = 'Compare' AND NOT is_test AND attrs['left'] RLIKE 'os\\\\.(environ|getenv)' AND attrs['right'] RLIKE '(?i)^.(1|true|yes|on).$'", "'reads a flag by hand'", "on = os.environ.get('X') == '1'\n", "on = flag('X')\n")
+local("sentinel_or_fallback", "P2", "kind = 'BoolOp' AND name = 'Or' AND attrs['first'] RLIKE '(^|\\\\.)(get|pop)\\\\(' AND attrs['last_kind'] = 'Constant' AND attrs['last'] NOT IN ('None', 'False')", "'a valid empty value is replaced'", "x = d.get('a') or 5\n", "x = d.get('a', 5)\n")
+local("hardcoded_token_ceilings", "Low", f"{CALL} AND NOT is_test AND attrs['literal_kwargs'] RLIKE ',(max_tokens|max_output_tokens),'", "'a limit stands in the call'", "f(max_tokens=512)\n", "f(max_tokens=LIMIT)\n")
+local("fit_at_test_module_import", "P2", f"{CALL} AND is_test AND module_level AND name RLIKE '\\\\.fit$'", "'trains while tests are collected'", test_file("m = M().fit(x)\n"), test_file("def test_a():\n    assert M().fit(x)\n"))
+local("import_time_global_side_effects", "P2", f"{CALL} AND module_level AND NOT is_test AND attrs['statement'] = 'true' AND name RLIKE '^(os\\\\.(chdir|putenv|umask)|warnings\\\\.(filterwarnings|simplefilter)|logging\\\\.basicConfig|random\\\\.seed|(np|numpy)\\\\.random\\\\.seed|sys\\\\.setrecursionlimit)$'", "name || ' at import'", "import random\nrandom.seed(1)\n", "import random\ndef f(seed):\n    random.seed(seed)\n")
+local("latched_availability_flags", "P2", "kind = 'Assign' AND in_handler AND name RLIKE '^_?(HAS|HAVE|AVAILABLE)_?\\\\w*$|_AVAILABLE$' AND attrs['value'] = 'False' AND scope_kind = 'function'", "'one failure is remembered for ever'", "def f():\n    global HAS_X\n    try:\n        g()\n    except Exception:\n        HAS_X = False\n", "try:\n    import x\nexcept ImportError:\n    HAS_X = False\n")
+local("ordinal_rank_scatter", "Low", f"{CALL} AND name RLIKE '(^|\\\\.)argsort$' AND code RLIKE 'argsort\\\\(.*\\\\.?argsort\\\\('", "'ties get different ranks'", "r = np.argsort(np.argsort(x))\n", "r = rankdata(x)\n")
+local("njit_fastmath_nan", "P2", f"{CALL} AND name RLIKE '(^|\\\\.)n?jit$' AND code RLIKE 'fastmath=True'", "'NaN tests may be dropped'", "@njit(fastmath=True)\ndef f(x):\n    return x\n", "@njit\ndef f(x):\n    return x\n")
+local("cuda_launch_bounds_literal", "Low", "kind = 'Constant' AND name = 'str' AND attrs['value'] RLIKE '__launch_bounds__\\\\(\\\\s*[0-9]+'", "'a bound stands in the source'", "K = '__launch_bounds__(256) void f() {}'\n", "K = '__launch_bounds__(BLOCK) void f() {}'\n")
+local("cuda_nvrtc_headers", "P2", "kind = 'Constant' AND name = 'str' AND attrs['value'] RLIKE '(?s)#include\\\\s*<(cuda_runtime|stdio|stdlib|math)\\\\.h>.*__global__'", "'a header that run-time compilation lacks'", "K = '#include <math.h>\\\\n__global__ void f() {}'\n", "K = '__global__ void f() {}'\n")
+local("cuda_kernel_fp_types", "Low", "kind = 'Constant' AND name = 'str' AND attrs['value'] RLIKE '(?s)__global__.*[^\\\\w.][0-9]+\\\\.[0-9]+[^0-9fF]'", "'a double literal in a kernel'", "K = '__global__ void f(float* x) { x[0] = 1.5; }'\n", "K = '__global__ void f(float* x) { x[0] = 1.5f; }'\n")
+local("truncating_discretisation", "P2", f"{CALL} AND name = 'int' AND attrs['args'] RLIKE '^[^()]* / [^()]*$'", "'rounds toward zero'", "k = int(x / w)\n", "k = round(x / w)\n")
+local("constant_fallback_cache_key", "P1", "kind = 'BoolOp' AND name = 'Or' AND attrs['first'] RLIKE '(?i)(cache_?key|fingerprint|digest)' AND attrs['last_kind'] = 'Constant' AND attrs['last'] <> 'None'", "'different inputs share a key'", "k = cache_key or 'default'\n", "k = cache_key or None\n")
+local("hash_key_determinism", "P2", f"{CALL} AND name = 'json.dumps' AND NOT contains(attrs['kwargs'], ',sort_keys,') AND attrs['attribute_of'] = 'true'", "'the order of keys decides the hash'", "h = sha(json.dumps(d).encode())\n", "h = sha(json.dumps(d, sort_keys=True).encode())\n")
+local("atomic_write_staging", "P2", f"{CALL} AND NOT is_test AND name RLIKE '\\\\.write_text$' AND code RLIKE '(?i)(state|baseline|checkpoint|manifest)'", "'a reader may see half a file'", "state_path.write_text(x)\n", "atomic_write(state_path, x)\n")
+local("validation_errors_echo_input", "P1", f"{CALL} AND in_handler AND name RLIKE '(HTTPException|JSONResponse|jsonify)$' AND code RLIKE '(errors\\\\(\\\\)|str\\\\((e|exc|err)\\\\))'", "'sends the input back'", "try:\n    f()\nexcept ValueError as e:\n    raise HTTPException(detail=str(e))\n", "try:\n    f()\nexcept ValueError as e:\n    raise HTTPException(detail='bad input')\n")
+local("shared_mutable_placeholder", "P1", "kind = 'BinOp' AND name = 'Mult' AND code RLIKE '^\\\\[(\\\\[\\\\]|\\\\{\\\\}|set\\\\(\\\\)|dict\\\\(\\\\)|list\\\\(\\\\))\\\\] \\\\*'", "'all places hold the same object'", "x = [[]] * 3\n", "x = [[] for _ in range(3)]\n")
+local("retry_without_backoff_literal", "Low", f"{CALL} AND in_loop AND in_handler AND name = 'time.sleep' AND attrs['args'] RLIKE '^[0-9.]+$' AND NOT is_test", "'waits the same time after each failure'", "for i in range(3):\n    try:\n        f()\n    except OSError:\n        time.sleep(1)\n", "for i in range(3):\n    try:\n        f()\n    except OSError:\n        time.sleep(2 ** i)\n")
+local("order_losing_filters", "Low", f"{CALL} AND name RLIKE '(^|\\\\.)set$' AND attrs['attribute_of'] = 'false' AND attrs['n_args'] = '1' AND code RLIKE '^set\\\\(\\\\w+\\\\)$' AND NOT is_test AND in_loop", "'the order is lost in each pass'", "for x in xs:\n    y = set(x)\n", "for x in xs:\n    y = dict.fromkeys(x)\n")
+local("survivorship_scoring", "P2", f"{CALL} AND name RLIKE '(mean|nanmean|average)$' AND attrs['args'] RLIKE '(is not None|dropna\\\\(\\\\)|isfinite)'", "'failed cases leave the score'", "m = np.mean([x for x in xs if x is not None])\n", "m = np.mean(xs)\n")
+local("oof_buffer_zero_init", "P2", "kind = 'Assign' AND name RLIKE '(^|_)oof(_|$)' AND attrs['value'] RLIKE '(^|\\\\.)zeros(_like)?\\\\('", "'a row that no fold fills scores 0'", "oof_pred = np.zeros(n)\n", "oof_pred = np.full(n, np.nan)\n")
+
+# --- further joins ---
+rule("column_no_write_path", "P2", "WITH q AS (SELECT path, line, lower(attrs['value']) AS s FROM nodes WHERE kind = 'Constant' AND name = 'str'), d AS (SELECT path, line, explode(transform(split(regexp_extract(s, 'create\\\\s+table\\\\s+(?:if\\\\s+not\\\\s+exists\\\\s+)?\\\\w+\\\\s*\\\\(([^)]*)', 1), ','), x -> split(trim(x), '\\\\s+')[0])) AS col FROM q WHERE s RLIKE 'create\\\\s+table'), w AS (SELECT DISTINCT explode(transform(split(regexp_extract(s, 'insert\\\\s+into\\\\s+\\\\w+\\\\s*\\\\(([^)]*)', 1), ','), x -> trim(x))) AS col FROM q WHERE s RLIKE 'insert\\\\s+into' UNION SELECT regexp_extract(s, 'set\\\\s+(\\\\w+)\\\\s*=', 1) FROM q WHERE s RLIKE 'update\\\\s+\\\\w+\\\\s+set') SELECT d.path, d.line, d.col || ' is never written' AS message FROM d LEFT ANTI JOIN w ON w.col = d.col WHERE d.col <> ''", "A = 'CREATE TABLE t (a int, b int)'\nB = 'INSERT INTO t (a) VALUES (1)'\n", "A = 'CREATE TABLE t (a int, b int)'\nB = 'INSERT INTO t (a, b) VALUES (1, 2)'\n")
+rule("sql_sibling_missing_time_bound", "P2", "WITH q AS (SELECT path, line, regexp_extract(lower(attrs['value']), '\\\\bfrom\\\\s+(\\\\w+)', 1) AS tbl, lower(attrs['value']) RLIKE '(created_at|ts|time)\\\\s*>' AS bound FROM nodes WHERE kind = 'Constant' AND name = 'str' AND attrs['value'] RLIKE '(?i)^\\\\s*select\\\\b'), g AS (SELECT tbl, count(*) AS n, count_if(bound) AS k FROM q GROUP BY tbl) SELECT q.path, q.line, 'reads all of ' || q.tbl AS message FROM q JOIN g ON g.tbl = q.tbl WHERE g.n >= 3 AND g.k >= 0.6 * g.n AND NOT q.bound AND q.tbl <> ''", "A = 'SELECT a FROM e WHERE ts > 1'\nB = 'SELECT b FROM e WHERE ts > 2'\nC = 'SELECT c FROM e'\n", "A = 'SELECT a FROM e WHERE ts > 1'\nC = 'SELECT c FROM e'\n")
+rule("stats_key_coverage", "P2", "SELECT w.path, w.line, w.name || ' is never reset' AS message FROM nodes w LEFT ANTI JOIN nodes r ON r.path = w.path AND r.kind = 'Assign' AND r.name = w.name AND r.scope RLIKE '(reset|__init__)$' WHERE w.kind = 'AugAssign' AND w.name RLIKE '^self\\\\.stats\\\\['", "class A:\n    def reset(self):\n        self.stats['a'] = 0\n    def f(self):\n        self.stats['b'] += 1\n", "class A:\n    def reset(self):\n        self.stats['b'] = 0\n    def f(self):\n        self.stats['b'] += 1\n")
+rule("unpicklable_resource_state", "P2", "SELECT a.path, a.line, a.name || ' can not be pickled' AS message FROM nodes a LEFT ANTI JOIN nodes g ON g.path = a.path AND g.name IN ('__getstate__', '__reduce__') AND g.kind = 'FunctionDef' AND startswith(a.scope, g.scope) WHERE a.kind = 'Assign' AND endswith(a.scope, '__init__') AND startswith(a.name, 'self.') AND a.attrs['value'] RLIKE '^(threading\\\\.(Lock|RLock|Event|Thread)|subprocess\\\\.Popen|socket\\\\.socket)\\\\('", "class A:\n    def __init__(self):\n        self.l = threading.Lock()\n", "class A:\n    def __init__(self):\n        self.l = threading.Lock()\n    def __getstate__(self):\n        return {}\n")
+rule("sentinel_cached_as_answer", "P2", "SELECT path, line, name || ' keeps a failure' AS message FROM nodes WHERE kind = 'Assign' AND in_handler AND name RLIKE '(?i)(memo|lookup|results?)\\\\w*\\\\[' AND attrs['value'] IN ('None', 'False', '-1')", "try:\n    f()\nexcept OSError:\n    memo['k'] = -1\n", "try:\n    f()\nexcept OSError:\n    memo.pop('k', None)\n")
+rule("lazy_log_assertion", "P2", "SELECT path, line, 'compares an unformatted record' AS message FROM nodes WHERE kind = 'Assert' AND is_test AND attrs['test'] RLIKE '\\\\.msg\\\\b'", test_file("def test_a(caplog):\n    assert 'x 3' in caplog.records[0].msg\n"), test_file("def test_a(caplog):\n    assert 'x 3' in caplog.records[0].getMessage()\n"))
+rule("route_literal_after_catchall", "P1", "WITH r AS (SELECT path, line, split(name, '[.]')[0] AS router, substring_index(name, '.', -1) AS verb, attrs['text'] AS url FROM nodes WHERE kind = 'Call' AND name RLIKE '\\\\.(get|post|put|delete)$' AND startswith(attrs['text'], '/')) SELECT b.path, b.line, b.url || ' is hidden by ' || a.url AS message FROM r a JOIN r b ON b.path = a.path AND b.router = a.router AND b.verb = a.verb AND b.line > a.line AND a.url LIKE '%{%' AND b.url NOT LIKE '%{%' AND regexp_replace(a.url, '/[^/]*$', '') = regexp_replace(b.url, '/[^/]*$', '')", "@app.get('/a/{id}')\ndef f(id):\n    return id\n@app.get('/a/all')\ndef g():\n    return 1\n", "@app.get('/a/all')\ndef g():\n    return 1\n@app.get('/a/{id}')\ndef f(id):\n    return id\n")
+rule("cross_package_private_names", "Low", "SELECT a.path, a.line, a.code || ' is private to its package' AS message FROM nodes a LEFT SEMI JOIN (SELECT path, explode(split(attrs['bound'], ',')) AS b FROM nodes WHERE kind = 'Import') i ON i.path = a.path AND startswith(a.code, i.b || '.') WHERE a.kind = 'Attribute' AND startswith(a.name, '_') AND NOT startswith(a.name, '__') AND NOT a.is_test", "import other\nx = other._y\n", "import other\nx = other.y\n")
+
+
 def audit(spark: SparkSession, files: DataFrame, rules: list[str] | None = None, min_files: int = 1) -> tuple[DataFrame, DataFrame]:
     """(findings with severity, problems) of (path, text). The nodes are parsed once and kept while the rules run."""
     nodes = pysource.parse(files).persist()
