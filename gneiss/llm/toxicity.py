@@ -25,6 +25,7 @@ from __future__ import annotations
 
 import re
 import zlib
+from array import array
 from collections.abc import Iterator
 from dataclasses import dataclass
 
@@ -134,11 +135,15 @@ def train(texts: list[str | None], toxic: list[int], p: ToxicityParams = Toxicit
         return Model(np.zeros(p.buckets, np.float32), 0.0, 1.0, 60.0 if y[0] else -60.0, p)
     rng = np.random.default_rng(p.seed)
     ids: dict[str, int] = {}
-    docs = [np.array([ids.setdefault(w, len(ids)) for w in WORD.findall((t or "").lower())], np.int64) for t in texts]
-    flat = [grams(w, p) for w in ids]
-    lengths = np.array([len(g) for g in flat], np.int64)
+    docs = [np.array([ids.setdefault(w, len(ids)) for w in WORD.findall((t or "").lower())], np.int32) for t in texts]
+    # packed arrays: lists of numbers would take several times the memory
+    buckets, sizes = array("i"), array("i")
+    for w in ids:
+        g = grams(w, p)
+        buckets.extend(g)
+        sizes.append(len(g))
+    lengths, bucket = np.array(sizes, np.int64), np.frombuffer(buckets, np.int32) if len(buckets) else np.empty(0, np.int32)
     first = np.concatenate([[0], np.cumsum(lengths)])
-    bucket = np.fromiter((b for g in flat for b in g), np.int64, int(first[-1]))
     full = np.nonzero(np.array([len(d) > 0 for d in docs]))[0]
     if not len(full):
         return Model(np.zeros(p.buckets, np.float32), 0.0, 1.0, float(np.log((y.mean() + 1e-3) / (1 - y.mean() + 1e-3))), p)
@@ -172,10 +177,11 @@ def train(texts: list[str | None], toxic: list[int], p: ToxicityParams = Toxicit
     def telling() -> np.ndarray:
         """Each document's window with the word that tells its class best, by a two-sample test of document frequencies; -1 if no word tells."""
         doc = np.repeat(np.arange(len(full)), np.diff(base))
-        seen = np.unique(np.stack([doc, words])[:, ~held[doc]], axis=1) if held.any() else np.unique(np.stack([doc, words]), axis=1)
-        y1 = label[seen[0]] == 1
+        seen = np.unique((doc * len(ids) + words)[~held[doc]])
+        of_doc, word = seen // len(ids), seen % len(ids)
+        y1 = label[of_doc] == 1
         n1, n0 = max(1, (label[learn] == 1).sum()), max(1, (label[learn] == 0).sum())
-        d1, d0 = np.bincount(seen[1][y1], minlength=len(ids)), np.bincount(seen[1][~y1], minlength=len(ids))
+        d1, d0 = np.bincount(word[y1], minlength=len(ids)), np.bincount(word[~y1], minlength=len(ids))
         q = (d1 + d0 + 1) / (n1 + n0 + 2)
         z = (d1 / n1 - d0 / n0) / np.sqrt(q * (1 - q) * (1 / n1 + 1 / n0))
         top = np.full(len(w_start), -np.inf)
@@ -234,7 +240,9 @@ def fit_toxicity(documents: DataFrame, labels: DataFrame, p: ToxicityParams = To
     # the sample is bounded, and so is what is broadcast and collected
     seen = documents.select("doc_id", "text").join(F.broadcast(some), "doc_id").select("doc_id", "toxic", "text").limit(2 * p.max_train_rows).toPandas()
     seen = seen.sort_values(["doc_id", "toxic", "text"], kind="stable")
-    return train(seen["text"].tolist(), [int(x > 0) for x in seen["toxic"]], p)
+    texts, toxic = seen["text"].tolist(), [int(x > 0) for x in seen["toxic"]]
+    del seen
+    return train(texts, toxic, p)
 
 
 def toxicity(docs: DataFrame, model: Model, text: str = "text") -> DataFrame:
