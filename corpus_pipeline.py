@@ -27,13 +27,18 @@ def drop_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 def drop_poor(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents that the quality rules reject go; the others stay as they are."""
-    return quality_rules(docs).where("kept").select(*COLUMNS)
+    # the row's number can't be known earlier, so the filter stays above the projections that share their parts;
+    # pushed below, it would hold a copy of each rule for each use
+    judged = quality_rules(docs).withColumn("_row", F.monotonically_increasing_id())
+    return judged.where(F.col("kept") & (F.col("_row") >= 0)).select(*COLUMNS)
 
 
 def drop_near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Of each group of linked documents the one with the smallest id stays. A document without an id is in no group."""
     same = ngram_components(docs).where("doc_id <> component_id").select("doc_id").distinct()
-    return docs.dropDuplicates(["doc_id", "text"]).join(same, "doc_id", "left_anti").select(*COLUMNS)
+    repeated = docs.groupBy("doc_id").count().where("count > 1 and doc_id is not null").limit(1).count() > 0
+    one = docs.dropDuplicates(["doc_id", "text"]) if repeated else docs
+    return one.join(same, "doc_id", "left_anti").select(*COLUMNS)
 
 
 def mix_sources(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
