@@ -23,6 +23,9 @@ class Rule:
     sql: str
     bad: dict[str, str]
     good: dict[str, str]
+    #: of a row-local rule: its condition and its message
+    where: str | None = None
+    message: str | None = None
 
 
 RULES: dict[str, Rule] = {}
@@ -32,18 +35,16 @@ def _files(x: str | dict[str, str]) -> dict[str, str]:
     return {"pkg/mod.py": x} if isinstance(x, str) else x
 
 
-def rule(name: str, severity: str, sql: str, bad: str | dict[str, str], good: str | dict[str, str]) -> None:
+def rule(name: str, severity: str, sql: str, bad: str | dict[str, str], good: str | dict[str, str], where: str | None = None, message: str | None = None) -> None:
     """Registers a rule; the SQL reads ``nodes``. A name is taken once."""
     if name in RULES:
         raise ValueError(f"rule {name!r} is registered twice")
-    RULES[name] = Rule(name, severity, sql, _files(bad), _files(good))
+    RULES[name] = Rule(name, severity, sql, _files(bad), _files(good), where, message)
 
 
 def local(name: str, severity: str, where: str, message: str, bad: str | dict[str, str], good: str | dict[str, str]) -> None:
-    rule(name, severity, f"SELECT path, line, {message} AS message FROM nodes WHERE {where}", bad, good)
-
-
-T = {"tests/test_x.py": ""}
+    """A rule that looks at one node alone; all of them run in one pass."""
+    rule(name, severity, f"SELECT path, line, {message} AS message FROM nodes WHERE {where}", bad, good, where, message)
 
 
 def test_file(text: str) -> dict[str, str]:
@@ -189,9 +190,17 @@ def findings(spark: SparkSession, nodes: DataFrame, rules: list[str] | None = No
     unknown = set(rules or ()) - set(RULES) - {"import_cycle"}
     if unknown:
         raise ValueError(f"unknown rules: {sorted(unknown)}")
+    chosen = [r for r in RULES.values() if rules is None or r.name in rules]
     out = None
-    for r in RULES.values():
-        if rules is not None and r.name not in rules:
+    if local_rules := [r for r in chosen if r.where]:
+        # one pass: each node tries all row-local rules
+        hits = [F.when(F.expr(r.where), F.struct(F.lit(r.name).alias("rule"), F.lit(r.severity).alias("severity"), F.expr(r.message).cast("string").alias("message"))) for r in local_rules]
+        hit = nodes.select("path", "line", F.explode(F.array_compact(F.array(*hits))).alias("h"))
+        out = fi.findings(hit, F.col("h.rule"), F.col("path"), F.col("h.message"), F.col("line"))
+        rank = F.create_map(*[F.lit(x) for r in local_rules for x in (r.name, r.severity)])
+        out = out.withColumn("severity", rank[F.col("rule")])
+    for r in chosen:
+        if r.where:
             continue
         found = fi.findings(spark.sql(r.sql.replace("{", "{{").replace("}", "}}").replace("FROM nodes", "FROM {nodes}").replace("JOIN nodes", "JOIN {nodes}"), nodes=nodes), r.name, F.col("path"), F.col("message"), F.col("line"))
         found = found.withColumn("severity", F.lit(r.severity))
