@@ -95,7 +95,7 @@ def mix(
     max_repeat: int = 2,
     block_words: int = 65536,
     min_blocks: int = 256,
-    bucket_docs: int = 50_000,
+    bucket_docs: int = 5_000,
     max_sources: int = 100_000,
 ) -> tuple[DataFrame, DataFrame]:
     """(per document: doc_id, size, source_size, target, taken, and its row's key; the schedule).

@@ -173,6 +173,11 @@ def test_mixing(spark, odd):
     assert len(rows) == len(TEXTS) + 2 and all(0 <= r["taken"] <= 2 * r["size"] for r in rows)
     assert mixing.mix(odd.limit(0))[0].count() == 0
     assert mixing.mix(odd.where("doc_id = 1"))[0].collect()[0]["taken"] == 0
+    # many buckets and blocks
+    big = spark.range(3000).selectExpr("id as doc_id", "repeat('w ', cast(id % 37 as int)) as text", "if(id % 3 = 0, 'hot', concat('s', id % 5)) as source")
+    got = mixing.mix(big, bucket_docs=100, block_words=50)[0].groupBy("target").agg(F.sum("taken").alias("t"), F.max(F.expr("taken - 2 * size")).alias("over")).collect()
+    # two sources of one weight may have equal targets
+    assert len(got) > 1 and all(min(abs(r["t"] - k * r["target"]) for k in (1, 2)) <= 0.02 * r["target"] and r["over"] <= 0 for r in got)
     assert mixing.water_fill([10, 100], [3, 1], 1.5, 2) == [20.0, 145.0]
 
 
