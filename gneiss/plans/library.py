@@ -187,7 +187,7 @@ def benchmark_in_documents(s, d):
 @query("near_copies_of_documents")
 def near_copies_of_documents(s, d):
     bodies = t(s, d, "documents").select(F.col("doc_id").alias("fn_id"), F.split("text", r"\s+").alias("tokens")).where(F.size("tokens") >= 20)
-    return similarity.near_copies(bodies, max_tokens=600)
+    return similarity.near_copies(bodies)
 
 
 @query("near_copy_candidates")
