@@ -239,6 +239,17 @@ def except_all_events(s, d):
     return e.where("event_id % 3 = 0").select("user_id", "event_type").exceptAll(e.where("event_id % 3 = 1").select("user_id", "event_type"))
 
 
+@query(
+    "except_all_event_halves",
+    "SELECT user_id, event_type FROM events WHERE event_id % 2 IS NOT DISTINCT FROM 0 EXCEPT ALL SELECT user_id, event_type FROM events WHERE event_id % 2 IS DISTINCT FROM 0",
+)
+def except_all_event_halves(s, d):
+    """Two sides that hold every event between them."""
+    e = t(s, d, "events")
+    even = (F.col("event_id") % 2).eqNullSafe(F.lit(0))
+    return e.where(even).select("user_id", "event_type").exceptAll(e.where(~even).select("user_id", "event_type"))
+
+
 # --- class T: histories --------------------------------------------------------------------------
 
 
@@ -422,6 +433,38 @@ def connected_components(s, d):
     return graph.components(edges(s, d))
 
 
+def trade_edges(s, d):
+    """All orders and lines as links: a customer to its orders, an order to its parts, and a part back to the customer that returned it.
+
+    Nodes are 3 * key for customers, 3 * key + 1 for orders and 3 * key + 2 for parts.
+    """
+    o = t(s, d, "orders").selectExpr("o_orderkey as k", "o_custkey * 3 as c", "o_orderkey * 3 + 1 as o")
+    l = t(s, d, "lineitem").selectExpr("l_orderkey as k", "l_orderkey * 3 + 1 as o", "l_partkey * 3 + 2 as p", "l_returnflag")
+    back = l.where("l_returnflag = 'R'").join(o.select("k", "c"), "k")
+    links = o.selectExpr("c as src", "o as dst").union(l.select("o", "p")).union(back.select("p", "c"))
+    return links.where("src is not null and dst is not null").distinct()
+
+
+# no SQL: DuckDB's recursion keeps a row for each pair of nodes
+
+
+@query("reachable_trade_nodes")
+def reachable_trade_nodes(s, d):
+    """From the first customer with an order."""
+    start = t(s, d, "orders").agg((F.min("o_custkey") * 3).alias("node")).where("node is not null")
+    return graph.reachable(trade_edges(s, d), start).select("node", "depth")
+
+
+@query("trade_cycle_members")
+def trade_cycle_members(s, d):
+    return graph.cycles(trade_edges(s, d))
+
+
+@query("trade_components")
+def trade_components(s, d):
+    return graph.components(trade_edges(s, d))
+
+
 # --- audit rules over Python source --------------------------------------------------------------
 
 
