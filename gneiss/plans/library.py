@@ -349,11 +349,11 @@ def stable_moments(s, d):
     "SELECT path, line, upper(regexp_extract(text, '(?i)#\\s*(TODO|FIXME|XXX|HACK)\\b', 1)) AS marker, regexp_matches(text, '\\([^)]*\\)|\\d{4}-\\d{2}-\\d{2}|@\\w+') AS attributed FROM l WHERE regexp_matches(text, '(?i)#\\s*(TODO|FIXME|XXX|HACK)\\b')",
 )
 def debt_markers(s, d):
-    """Markers in the first four lines of documents that carry a planted first line."""
+    """Markers in all lines of documents that carry a planted first line; the SQL reads the first four only."""
     k = F.col("doc_id") % 4
     planted = F.concat(F.lit("# "), F.when(k == 0, "TODO").when(k == 1, "fixme (ann)").when(k == 2, "XXXL").otherwise("none"), F.lit(" "), F.left(F.translate("text", "\n", " "), F.lit(20)), F.lit("\n"), F.col("text"))
     docs = t(s, d, "documents").select("doc_id", planted.alias("text"))
-    found = text.markers(text.lines(docs, F.concat(F.lit("doc/"), F.col("doc_id").cast("string"))).where("line <= 4"))
+    found = text.markers(text.lines(docs, F.concat(F.lit("doc/"), F.col("doc_id").cast("string"))))
     return found.select("path", "line", "marker", "attributed")
 
 

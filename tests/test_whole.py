@@ -89,3 +89,10 @@ def test_except_all_compares_every_event(spark, tmp_path):
     side = lambda even: Counter((u, e) for k, u, e in events if (k is not None and k % 2 == 0) == even)
     got = Counter(map(tuple, catalogue.queries()["except_all_event_halves"](spark, str(tmp_path)).collect()))
     assert got == side(True) - side(False)
+
+
+def test_debt_markers_reads_late_lines(spark, tmp_path):
+    body = "\n".join([f"line {i}" for i in range(40)] + ["x = 1  # HACK (ann) late", "end"])
+    spark.createDataFrame([(3, body), (7, "a text that is long\nb\nc\nd\n# todo")], "doc_id long, text string").write.parquet(f"{tmp_path}/documents.parquet")
+    got = {tuple(r) for r in catalogue.queries()["debt_markers"](spark, str(tmp_path)).select("path", "line", "marker", "attributed").collect()}
+    assert got == {("doc/3", 42, "HACK", True), ("doc/7", 6, "TODO", False)}
