@@ -18,6 +18,9 @@ Nothing is sampled away: every pair of different sets at the threshold ends in o
 4. Surviving pairs are verified on the full sets, and the links' components are found by label
    propagation with pointer jumping over written tables.
 
+``links()`` gives the links themselves: it skips step 2 and labels each class by itself, so that step 3
+compares all pairs of different classes. Its size is that of its result, up to the square of a group of near copies.
+
 Hashes have 64 bits (classes 128). Tables between the steps lie in the shared folder.
 
 Defined results: null text or no words: an empty set, linked with nothing; fewer than ``k`` words:
@@ -380,6 +383,17 @@ class NgramJoin:
         out = out.join(label, out["rep"] == label["v"], "left")
         return out.select("doc_id", "n_shingles", F.coalesce("label", "rep", "doc_id").alias("component_id"), F.coalesce("rep", "doc_id").alias("class_id"))
 
+    def links(self) -> DataFrame:
+        """All links between different texts: a, b (class ids, a < b). Each set has a label of its own here, so the trees leave out no pair."""
+        scratch = self.scratch
+        sets = scratch.keep(self.sets(), "sets")
+        reps = scratch.keep(sets.where("n > 0").groupBy("digest").agg(F.min("doc_id").alias("sid")).where("sid is not null"), "classes")
+        routed = sets.select(F.col("doc_id").alias("sid"), "n", "digest", "light", "heavy").join(reps, ["sid", "digest"], "left_semi")
+        routed = routed.select("sid", "n", F.col("sid").alias("label"), "light", "heavy")
+        pairs = scratch.keep(self.candidates(self.groups(routed), sets), "pairs")
+        scratch.tidy()
+        return self.verified(pairs, "all").distinct()
+
 
 def ngram_components(documents: DataFrame, params: JoinParams = JoinParams()) -> DataFrame:
     return NgramJoin(documents, params).components()
@@ -387,3 +401,7 @@ def ngram_components(documents: DataFrame, params: JoinParams = JoinParams()) ->
 
 def op3_ngram_join(documents: DataFrame) -> DataFrame:
     return ngram_components(documents)
+
+
+def op3_ngram_links(documents: DataFrame) -> DataFrame:
+    return NgramJoin(documents).links()

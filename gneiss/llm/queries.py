@@ -14,7 +14,7 @@ from gneiss.llm.language_id import op2_language_id
 from gneiss.llm.license_scan import op7_license_scan
 from gneiss.llm.merkle import op5_merkle
 from gneiss.llm.mixing import op8_mixing
-from gneiss.llm.ngram_join import op3_ngram_join
+from gneiss.llm.ngram_join import op3_ngram_join, op3_ngram_links
 from gneiss.llm.quality_rules import op9_quality_rules
 from gneiss.llm.sql import ORACLES
 from gneiss.llm.toxicity import op1_toxicity
@@ -28,6 +28,7 @@ def queries() -> dict[str, Query]:
         "op1_toxicity": lambda s, d: op1_toxicity(docs(s, d), table(s, d, "labels")),
         "op2_language_id": lambda s, d: op2_language_id(docs(s, d)),
         "op3_ngram_join": lambda s, d: op3_ngram_join(docs(s, d)),
+        "op3_ngram_links": lambda s, d: op3_ngram_links(docs(s, d)),
         "op4_chat_format": lambda s, d: op4_chat_format(table(s, d, "conversations")),
         "op5_merkle": lambda s, d: op5_merkle(docs(s, d)),
         "op6_bpe": lambda s, d: op6_bpe(docs(s, d)),

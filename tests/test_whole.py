@@ -7,6 +7,7 @@ from itertools import combinations
 
 import pytest
 
+from gneiss.llm import ngram_join
 from gneiss.operators import graph
 from gneiss.plans import catalogue
 
@@ -96,3 +97,20 @@ def test_debt_markers_reads_late_lines(spark, tmp_path):
     spark.createDataFrame([(3, body), (7, "a text that is long\nb\nc\nd\n# todo")], "doc_id long, text string").write.parquet(f"{tmp_path}/documents.parquet")
     got = {tuple(r) for r in catalogue.queries()["debt_markers"](spark, str(tmp_path)).select("path", "line", "marker", "attributed").collect()}
     assert got == {("doc/3", 42, "HACK", True), ("doc/7", 6, "TODO", False)}
+
+
+def test_links_of_a_group_of_near_copies_are_all_there(spark):
+    base = words("w", 200)
+    texts = {k: " ".join([*base[:k], f"x{k}", *base[k + 1 :]]) for k in range(0, 180, 2)}
+    texts |= {1000 + k: t for k, t in list(texts.items())[:3]} | {2000: " ".join(base[:100]), 2001: None, 2002: " ".join(words("z", 40))}
+    docs = spark.createDataFrame(list(texts.items()), "doc_id long, text string")
+    sh = lambda t: {tuple(t.split()[i : i + 5]) for i in range(len(t.split()) - 4)}
+    first = {}
+    for k in sorted(texts):
+        if texts[k]:
+            first.setdefault(texts[k], k)
+    sets = {k: sh(t) for t, k in first.items()}
+    want = {(a, b) for a, b in combinations(sorted(sets), 2) if 5 * len(sets[a] & sets[b]) >= 4 * len(sets[a] | sets[b])}
+    assert len(want) > 4000
+    found = [tuple(r) for r in ngram_join.op3_ngram_links(docs).select("a", "b").collect()]
+    assert set(found) == want and len(found) == len(want)
