@@ -7,7 +7,7 @@ from itertools import combinations
 
 import pytest
 
-from gneiss.llm import ngram_join
+from gneiss.llm import html_extract, ngram_join
 from gneiss.operators import graph
 from gneiss.plans import catalogue
 
@@ -114,3 +114,16 @@ def test_links_of_a_group_of_near_copies_are_all_there(spark):
     assert len(want) > 4000
     found = [tuple(r) for r in ngram_join.op3_ngram_links(docs).select("a", "b").collect()]
     assert set(found) == want and len(found) == len(want)
+
+
+@pytest.mark.parametrize("tag", ["div", "section", "ul", "blockquote"])
+def test_article_keeps_what_stands_beside_its_largest_part(tag):
+    item = "li" if tag == "ul" else "p"
+    body = [f"Sentence {i} of the body, with some more words in it, and an end." for i in range(20)]
+    inner = "".join(f"<{item}>{x}</{item}>" for x in body)
+    lead = "A lead of some words, which tells what follows, in short."
+    part = f"<h1>Headline</h1><p>{lead}</p><{tag}>{inner}</{tag}>"
+    nav = "<nav>Menu</nav>"
+    assert html_extract.main_text(f"<body>{nav}<article>{part}</article></body>") == "\n\n".join(["Headline", lead, *body])
+    # without an article, what was selected by its path stays
+    assert lead in html_extract.main_text(f"<body>{nav}<div>{part}</div></body>")
