@@ -192,7 +192,7 @@ def _rows(path: str, text: str | None) -> Iterator[tuple]:
         name, attrs = _attrs(n, parent)
         line = getattr(n, "lineno", 1 if isinstance(n, ast.Module) else None)
         if line is not None or isinstance(n, ast.Module):
-            code = ast.unparse(n)[:400] if isinstance(n, (ast.expr, ast.Return, ast.Assert, ast.Assign, ast.Raise)) else ""
+            code = ast.unparse(n) if isinstance(n, (ast.expr, ast.Return, ast.Assert, ast.Assign, ast.Raise)) else ""
             yield row(me, up, depth, kind, name, line or 0, getattr(n, "end_lineno", line) or 0, scope, scope_kind, flags, scope_kind == "module", code, attrs)
         loop, in_async, in_try, handler, in_with = flags
         inner_scope, inner_kind = scope, scope_kind

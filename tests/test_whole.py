@@ -9,7 +9,8 @@ import pytest
 
 from gneiss.llm import html_extract, ngram_join
 from gneiss.operators import graph
-from gneiss.plans import catalogue
+from gneiss.plans import catalogue, rules
+from gneiss.sources import pysource
 
 
 def words(name, n):
@@ -127,3 +128,18 @@ def test_article_keeps_what_stands_beside_its_largest_part(tag):
     assert html_extract.main_text(f"<body>{nav}<article>{part}</article></body>") == "\n\n".join(["Headline", lead, *body])
     # without an article, what was selected by its path stays
     assert lead in html_extract.main_text(f"<body>{nav}<div>{part}</div></body>")
+
+
+def test_audit_rules_read_calls_of_over_400_characters(spark):
+    long = ", ".join(f"'argument number {i}'" for i in range(40))
+    same = "\n".join(f"def test_{k}():\n    _fit({long}, {k})\n" for k in range(3))
+    files = [
+        ("a.py", f"@njit([{long}], fastmath=True)\ndef f(x):\n    return x\n"),
+        ("b.py", f"try:\n    f()\nexcept ValueError as e:\n    raise HTTPException({long}, str(e))\n"),
+        ("c.py", f"r = np.argsort(g({long}, np.argsort(x)))\n"),
+        ("tests/test_x.py", same),
+    ]
+    n = pysource.parse(spark.createDataFrame(files, "path string, text string")).persist()
+    names = ["njit_fastmath_nan", "validation_errors_echo_input", "ordinal_rank_scatter", "redundant_test_fit_call"]
+    got = {(r["rule"], r["path"]) for r in rules.findings(spark, n, names).collect()}
+    assert got == {("njit_fastmath_nan", "a.py"), ("validation_errors_echo_input", "b.py"), ("ordinal_rank_scatter", "c.py")}
