@@ -30,29 +30,34 @@ def _no_repeats(pairs: list[tuple[str, object]]) -> dict:
 def parse_baseline(text: str) -> list[tuple[str, int, str]]:
     """(key, count, note) of a baseline file in any accepted shape.
 
-    ``{"schema": 1, "entries": {key: {"count", "note"}}}``, ``{"accepted": {key: note}}``, ``{key: note}``,
-    ``{key: count}``, a list of keys (repeats count), or a list of pairs, joined by ``|``. Repeated JSON keys,
-    counts that are no positive integers, and a plain key equal to a joined pair are errors.
+    An object of entries, as it is or as the object under ``entries`` or ``accepted``: each key has a note, a count, an
+    object with ``count`` and ``note``, null, or any other JSON, which is a note. Or a list of keys (repeats count) and of lists of
+    strings, joined by ``|``. Repeated JSON keys, counts that are no positive integers, booleans, and a plain key equal to
+    a joined one are errors.
     """
     data = json.loads(text, object_pairs_hook=_no_repeats)
     if isinstance(data, list):
         plain = Counter(x for x in data if isinstance(x, str))
-        joined = Counter("|".join(map(str, x)) for x in data if isinstance(x, list) and len(x) == 2)
+        joined = Counter("|".join(x) for x in data if isinstance(x, list) and x and all(isinstance(y, str) for y in x))
         if len(plain) and set(plain) & set(joined):
-            raise BaselineError("a key equals a joined pair")
+            raise BaselineError("a key equals a joined list")
         if sum(plain.values()) + sum(joined.values()) != len(data):
-            raise BaselineError("entries are neither keys nor pairs")
+            raise BaselineError("entries are neither keys nor lists of strings")
         return sorted((k, n, "") for k, n in (plain + joined).items())
     if not isinstance(data, dict):
         raise BaselineError("neither an object nor a list")
-    entries = data.get("entries") if "schema" in data else data.get("accepted", data)
-    if not isinstance(entries, dict):
-        raise BaselineError("no entries")
+    entries = next((data[k] for k in ("entries", "accepted") if isinstance(data.get(k), dict)), data)
     out = []
     for key, value in entries.items():
         if key in META:
             continue
-        count, note = (value.get("count", 1), value.get("note", "")) if isinstance(value, dict) else (1, value) if isinstance(value, str) else (value, "")
+        if isinstance(value, dict):
+            count, note = value.get("count", 1), value.get("note", "")
+        elif isinstance(value, int):
+            count, note = value, ""
+        else:
+            count, note = 1, value or ""
+        note = note if isinstance(note, str) else json.dumps(note, sort_keys=True)
         if isinstance(count, bool) or not isinstance(count, int) or count < 1:
             raise BaselineError(f"count of {key!r} is no positive integer")
         out.append((key, count, note))
@@ -84,12 +89,12 @@ def unjustified(accepted: DataFrame) -> DataFrame:
 
 
 def shrink_only(previous: DataFrame, current: DataFrame, slack: int = 0) -> DataFrame:
-    """key, kept, grown. Common keys keep the smaller count; keys of count 0 or less aren't kept (null); grown: new, or risen by more than ``slack``."""
+    """key, kept, grown. Common keys keep the smaller count; grown: new, or risen by more than ``slack``. A key whose count now is 0 or less is neither."""
     a = previous.select("key", F.col("count").alias("_old"))
     b = current.select("key", F.col("count").alias("_new"))
     both = a.join(b, "key", "full_outer")
     least = F.when(F.col("_old").isNotNull() & F.col("_new").isNotNull() & (F.col("_new") > 0), F.least("_old", "_new"))
-    grown = F.col("_new").isNotNull() & (F.col("_old").isNull() | (F.col("_new") > F.col("_old") + slack))
+    grown = F.coalesce(F.col("_new") > 0, F.lit(False)) & (F.col("_old").isNull() | (F.col("_new") > F.col("_old") + slack))
     return both.select("key", least.alias("kept"), grown.alias("grown")).where("kept is not null or grown")
 
 

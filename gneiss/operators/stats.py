@@ -72,16 +72,36 @@ def edge_rows(spark) -> DataFrame:
     return spark.createDataFrame(rows, "case string, i int, y_true bigint, y_pred double, weight double")
 
 
+def error_ancestors() -> dict[str, list[str]]:
+    """Each built-in exception and all classes it is one of."""
+    import builtins
+
+    kinds = [x for x in vars(builtins).values() if isinstance(x, type) and issubclass(x, BaseException)]
+    return {k.__name__: [c.__name__ for c in k.__mro__ if issubclass(c, BaseException)] for k in kinds}
+
+
 def edge_verdicts(results: DataFrame, contracts: DataFrame) -> DataFrame:
-    """(case, value, error) against (case, contract): case, contract, ok. Contracts: nan, finite, nan_or_valueerror, raise:<Error>, no_crash, any."""
+    """(case, value, error) against (case, contract): case, contract, ok.
+
+    error is the name of the exception's class, or null. A division by zero, an index out of range or a runtime
+    warning meets no contract. Else: ``any`` takes all; ``nan`` and ``finite`` a result of that kind; ``no_crash`` any result, a
+    ValueError or a TypeError (or a built-in subclass); ``nan_or_valueerror`` NaN or those two; ``raise:<Error>`` that error or
+    a built-in subclass. Another contract is an error when the verdicts are read; a case without a result meets none but ``any``.
+    """
+    known = F.create_map(*[x for k, up in sorted(error_ancestors().items()) for x in (F.lit(k), F.lit(up))])
     v, e, c = F.col("value"), F.col("error"), F.col("contract")
+    kinds = F.coalesce(F.try_element_at(known, e), F.array(e))
+    isa = lambda *names: e.isNotNull() & F.arrays_overlap(kinds, F.lit(list(names)))
     nan, finite = e.isNull() & F.isnan(v), e.isNull() & v.isNotNull() & ~F.isnan(v) & (F.abs(v) < float("inf"))
+    there, soft = e.isNull() & v.isNotNull(), isa("ValueError", "TypeError")
     ok = (
-        F.when(c == "nan", nan)
-        .when(c == "finite", finite)
-        .when(c == "nan_or_valueerror", nan | (e == "ValueError"))
-        .when(c.startswith("raise:"), e == F.substr(c, F.lit(7)))
-        .when(c == "no_crash", e.isNull())
+        F.when(isa("ZeroDivisionError", "IndexError", "RuntimeWarning"), F.lit(False))
         .when(c == "any", F.lit(True))
+        .when(c == "nan", nan)
+        .when(c == "finite", finite)
+        .when(c == "no_crash", there | soft)
+        .when(c == "nan_or_valueerror", nan | soft)
+        .when(c.startswith("raise:"), e.isNotNull() & F.array_contains(kinds, F.substr(c, F.lit(7))))
+        .otherwise(F.raise_error(F.concat(F.lit("unknown contract: "), c)).cast("boolean"))
     )
     return contracts.join(results, "case", "left").select("case", "contract", F.coalesce(ok, F.lit(False)).alias("ok"))

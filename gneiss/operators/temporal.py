@@ -39,19 +39,22 @@ def red_streaks(runs: DataFrame, by: Sequence[str], id: str = "id", at: str = "c
     return red.groupBy(*by).agg(F.min(at).alias("red_since"), F.count("*").alias("n_red"), F.first(F.col("_green").isNull()).alias("lower_bound"))
 
 
-def drift(before: DataFrame, after: DataFrame, on: Sequence[str], count: str = "count", error: str | None = None, pct: float = 0.20, absolute: int = 5) -> DataFrame:
+def drift(before: DataFrame, after: DataFrame, on: Sequence[str], count: str = "count", error: str | None = None, pct: float = 0.20, absolute: int = 5, repo: str | None = None) -> DataFrame:
     """What changed between two snapshots: on, before, after, kind.
 
-    The kinds are tried in order: errored or still-errored, gone, recovered or new, blind (fell to 0), jump
-    (grew by more than ``absolute`` and by more than ``pct``). Rows without a kind fall out. A repository that
+    The kinds are tried in order: errored (also if it is new), or still-errored if it erred before without a count, gone,
+    recovered or new, blind (fell to 0), jump (grew by more than ``absolute`` and by more than ``pct``). Rows without a kind
+    fall out. ``repo``: one of ``on``; only repositories that both snapshots have are compared, and one that
     lacks in the later snapshot is told by ``repo_gone``.
     """
+    if repo is not None:
+        before, after = (x.join(y.select(repo).distinct(), repo, "left_semi") for x, y in ((before, after), (after, before)))
     none = F.lit(None).cast("string")
     a = before.select(*on, F.col(count).alias("before"), (F.col(error) if error else none).alias("_be"), F.lit(True).alias("_b"))
     b = after.select(*on, F.col(count).alias("after"), (F.col(error) if error else none).alias("_ae"), F.lit(True).alias("_a"))
     x, y = F.col("before"), F.col("after")
     kind = (
-        F.when(F.col("_ae").isNotNull(), F.when(x.isNotNull(), F.lit("errored")).otherwise(F.lit("still-errored")))
+        F.when(F.col("_ae").isNotNull(), F.when(F.col("_be").isNotNull() & x.isNull(), F.lit("still-errored")).otherwise(F.lit("errored")))
         .when(y.isNull() & x.isNotNull(), F.lit("gone"))
         .when(x.isNull() & y.isNotNull(), F.when(F.col("_be").isNotNull(), F.lit("recovered")).otherwise(F.lit("new")))
         .when((x > 0) & (y == 0), F.lit("blind"))

@@ -8,10 +8,12 @@ from __future__ import annotations
 import hashlib
 import json
 import os
+import sys
 import tempfile
 import time
-from collections.abc import Callable
+from collections.abc import Callable, Iterable, Iterator
 from dataclasses import dataclass, field, replace
+from types import CodeType
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -110,32 +112,44 @@ def run_query(spark: SparkSession, spec: QuerySpec, source: DataFrame, accepted:
         return done("ERROR", f"{type(e).__name__}: {e}"[:2000])
 
 
-def refresh_baseline(path: str, found: DataFrame, slack: int = 0, grow: bool = False, max_keys: int = 1_000_000) -> None:
-    """Writes what remains of a baseline: removals and smaller counts; growth is an error unless asked for. A refused write leaves the file as it is."""
+def refresh_baseline(path: str, found: DataFrame, slack: int = 0, grow: bool = False) -> None:
+    """Writes what remains of a baseline: removals and smaller counts; growth is an error unless asked for. A refused write leaves the file as it is.
+
+    Keys come to the driver in order, one partition at a time, and go straight to the file.
+    """
     current = ratchet.counted(found)
     old = None
     if os.path.exists(path):
         with open(path, encoding="utf-8") as f:
             old = {k: (n, note) for k, n, note in ratchet.parse_baseline(f.read())}
-    rows = current.limit(max_keys + 1).collect()
-    if len(rows) > max_keys:
-        raise ValueError(f"more than {max_keys} keys")
-    now = {r["key"]: r["count"] for r in rows}
-    if not grow:
-        grown = [k for k, n in now.items() if old is None or k not in old or n > old[k][0] + slack]
+
+    def parts() -> Iterator[str]:
+        yield '{\n "schema": 1,\n "entries": {'
+        before, grown = "\n", []
+        for r in current.orderBy("key").toLocalIterator():
+            k, n = r["key"], r["count"]
+            known, note = (old or {}).get(k, (None, ratchet.UNJUSTIFIED))
+            if not grow and (known is None or n > known + slack):
+                grown.append(k)
+                if len(grown) >= 5:
+                    break
+                continue
+            n = n if grow else min(n, known)
+            yield f"{before}  {json.dumps(k, ensure_ascii=False)}: {json.dumps({'count': n, 'note': note}, ensure_ascii=False)}"
+            before = ",\n"
         if grown:
-            raise ValueError(f"grown: {sorted(grown)[:5]}")
-        now = {k: min(n, old[k][0]) for k, n in now.items()}
-    entries = {k: {"count": n, "note": (old or {}).get(k, (0, ratchet.UNJUSTIFIED))[1]} for k, n in sorted(now.items())}
-    write_atomically(path, json.dumps({"schema": 1, "entries": entries}, indent=1, ensure_ascii=False) + "\n")
+            raise ValueError(f"grown: {grown}")
+        yield "\n }\n}\n"
+
+    write_atomically(path, parts())
 
 
-def write_atomically(path: str, text: str) -> None:
+def write_atomically(path: str, parts: Iterable[str]) -> None:
     """A reader sees the old file or the new one, never a part."""
     fd, temp = tempfile.mkstemp(dir=os.path.dirname(os.path.abspath(path)))
     try:
         with os.fdopen(fd, "w", encoding="utf-8", newline="\n") as f:
-            f.write(text)
+            f.writelines(parts)
         os.replace(temp, path)
     except BaseException:
         if os.path.exists(temp):
@@ -149,8 +163,30 @@ def digest(rows: DataFrame, columns: list[str]) -> DataFrame:
     return rows.agg(F.count("*").alias("n"), F.sum(h.cast("decimal(38,0)")).cast("string").alias("sum"), F.bit_xor(h).alias("xor"))
 
 
+def library_digest() -> str:
+    """Of all sources of this library, so that a result is known only as long as nothing in it changed."""
+    here, out = os.path.dirname(os.path.dirname(os.path.abspath(__file__))), hashlib.sha256()
+    for folder, _, names in sorted(os.walk(here)):
+        for n in sorted(names):
+            if n.endswith(".py"):
+                with open(os.path.join(folder, n), "rb") as f:
+                    out.update(n.encode() + f.read())
+    return out.hexdigest()
+
+
+def code_digest(f: Callable) -> str:
+    """Of a function's instructions, constants and closed-over values."""
+
+    def told(code: CodeType) -> list:
+        return [code.co_code.hex(), code.co_names, [told(c) if isinstance(c, CodeType) else repr(c) for c in code.co_consts]]
+
+    code = getattr(f, "__code__", None)
+    cells = [repr(c.cell_contents) for c in getattr(f, "__closure__", None) or ()]
+    return hashlib.sha256(repr([told(code) if code else repr(f), cells, repr(getattr(f, "__defaults__", None))]).encode()).hexdigest()
+
+
 class ResultCache:
-    """Remembers passes by query, parameters and the digest of the input; failures are run again."""
+    """Remembers passes by query, its code, the library's and the interpreter's version, parameters and the digest of the input; failures are run again."""
 
     def __init__(self, path: str, keep: int = 500):
         self.path, self.keep = path, keep
@@ -164,7 +200,8 @@ class ResultCache:
     @staticmethod
     def key(spec: QuerySpec, source: DataFrame, **parameters: object) -> str:
         d = digest(source, source.columns).first()
-        return hashlib.sha256(json.dumps([spec.name, spec.min_rows, spec.allow_rejects, spec.budget_s, sorted((k, repr(v)) for k, v in parameters.items()), list(map(str, d))]).encode()).hexdigest()
+        code = [code_digest(spec.run), code_digest(spec.problems) if spec.problems else "", library_digest(), sys.version, source.sparkSession.version]
+        return hashlib.sha256(json.dumps([*code, spec.name, spec.min_rows, spec.allow_rejects, spec.budget_s, sorted((k, repr(v)) for k, v in parameters.items()), list(map(str, d))]).encode()).hexdigest()
 
     def run(self, spark: SparkSession, spec: QuerySpec, source: DataFrame, **kw: object) -> QueryResult:
         key, known = self.key(spec, source), self._read()
@@ -172,5 +209,5 @@ class ResultCache:
             return QueryResult(spec.name, "PASSED", "", 0.0, cached=True)
         out = run_query(spark, spec, source, **kw)
         if out.status == "PASSED":
-            write_atomically(self.path, json.dumps([*known, key][-self.keep :]))
+            write_atomically(self.path, [json.dumps([*known, key][-self.keep :])])
         return replace(out)

@@ -168,6 +168,14 @@ def _attrs(n: ast.AST, parent: ast.AST | None) -> tuple[str, dict[str, str]]:
     return name, a
 
 
+def _code(n: ast.AST, text: str) -> str:
+    """The node as normal source text; one that nests too deep for that as it is written."""
+    try:
+        return ast.unparse(n)
+    except RecursionError:
+        return ast.get_source_segment(text, n) or ""
+
+
 def _rows(path: str, text: str | None) -> Iterator[tuple]:
     test = is_test_path(path)
 
@@ -180,8 +188,8 @@ def _rows(path: str, text: str | None) -> Iterator[tuple]:
         return
     try:
         tree = ast.parse(text.removeprefix("﻿"))
-    except (SyntaxError, ValueError) as e:
-        yield row(0, -1, 0, "Problem", "unparsable", getattr(e, "lineno", 0) or 0, 0, "", "", none, True, "", {}, str(e))
+    except (SyntaxError, ValueError, RecursionError, MemoryError) as e:
+        yield row(0, -1, 0, "Problem", "unparsable", getattr(e, "lineno", 0) or 0, 0, "", "", none, True, "", {}, str(e) or type(e).__name__)
         return
     count = 0
     stack = [(tree, None, -1, 0, "", "module", none)]
@@ -189,10 +197,14 @@ def _rows(path: str, text: str | None) -> Iterator[tuple]:
         n, parent, up, depth, scope, scope_kind, flags = stack.pop()
         me, count = count, count + 1
         kind = type(n).__name__
-        name, attrs = _attrs(n, parent)
+        try:
+            name, attrs = _attrs(n, parent)
+        except RecursionError:
+            # too deep to be read as a whole; its parts are rows of their own
+            name, attrs = "", {"too_deep": "true"}
         line = getattr(n, "lineno", 1 if isinstance(n, ast.Module) else None)
         if line is not None or isinstance(n, ast.Module):
-            code = ast.unparse(n) if isinstance(n, (ast.expr, ast.Return, ast.Assert, ast.Assign, ast.Raise)) else ""
+            code = _code(n, text) if isinstance(n, (ast.expr, ast.Return, ast.Assert, ast.Assign, ast.Raise)) else ""
             yield row(me, up, depth, kind, name, line or 0, getattr(n, "end_lineno", line) or 0, scope, scope_kind, flags, scope_kind == "module", code, attrs)
         loop, in_async, in_try, handler, in_with = flags
         inner_scope, inner_kind = scope, scope_kind
@@ -216,8 +228,8 @@ def _rows(path: str, text: str | None) -> Iterator[tuple]:
             if k.type == tokenize.COMMENT:
                 yield row(count, 0, 1, "Comment", "", k.start[0], k.end[0], "", "", none, False, k.string, {})
                 count += 1
-    except (tokenize.TokenError, IndentationError):
-        pass
+    except (tokenize.TokenError, SyntaxError) as e:
+        yield row(count, 0, 1, "Problem", "uncommented", 0, 0, "", "", none, False, "", {}, f"comments not read: {e}")
 
 
 def parse(files: DataFrame) -> DataFrame:
@@ -226,8 +238,15 @@ def parse(files: DataFrame) -> DataFrame:
 
     def rows(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for f in frames:
+            batch = []
             for path, text in zip(f["path"], f["text"], strict=True):
-                yield pd.DataFrame(list(_rows(path, text)), columns=names)
+                for r in _rows(path, text):
+                    batch.append(r)
+                    if len(batch) >= 5_000:
+                        yield pd.DataFrame(batch, columns=names)
+                        batch = []
+            if batch:
+                yield pd.DataFrame(batch, columns=names)
 
     return files.select("path", "text").mapInPandas(rows, NODES)
 

@@ -59,7 +59,10 @@ def test_baseline_shapes_and_rejects():
     assert p('{"a": 3, "_comment": "x"}') == [("a", 3, "")]
     assert p('{"accepted": {"a": "why"}}') == [("a", 1, "why")]
     assert p('{"schema": 1, "entries": {"a": {"count": 2, "note": "n"}}}') == [("a", 2, "n")]
-    for bad in ('{"a": true}', '{"a": 0}', '{"a": 1, "a": 2}', '["a|b", ["a", "b"]]', "3"):
+    assert p('{"entries": {"a": {"count": 3}}}') == [("a", 3, "")] and p('{"entries": "x"}') == [("entries", 1, "x")]
+    assert p('[["a", "b", "c"], ["d"], "e"]') == [("a|b|c", 1, ""), ("d", 1, ""), ("e", 1, "")]
+    assert p('{"a": null, "b": ["x", 1], "c": {"note": {"y": 1}}}') == [("a", 1, ""), ("b", 1, '["x", 1]'), ("c", 1, '{"y": 1}')]
+    for bad in ('[[]]', '[["a", 1]]', '{"a": {"count": true}}', '{"a": true}', '{"a": 0}', '{"a": 1, "a": 2}', '["a|b", ["a", "b"]]', "3"):
         with pytest.raises(ratchet.BaselineError):
             p(bad)
 
@@ -69,6 +72,7 @@ def test_multiset_diff_shrink_only_and_hygiene(spark):
     assert rows(ratchet.multiset_diff(c(a=2, b=1), c(a=1, b=2, d=1))) == [("a", 1, 0), ("b", 0, 1), ("d", 0, 1)]
     got = {r["key"]: (r["kept"], r["grown"]) for r in ratchet.shrink_only(c(a=3, b=1, g=1), c(a=2, b=5, n=1)).collect()}
     assert got == {"a": (2, False), "b": (1, True), "n": (None, True)}
+    assert rows(ratchet.shrink_only(c(a=3, b=1), c(a=0, n=0, m=-1))) == []
     acc = ratchet.baseline(spark, '{"/abs/x": "a good long note", "k": "short", "m": "TODO: justify"}')
     assert {(r["key"], r["problem"]) for r in ratchet.hygiene(acc).collect()} == {("/abs/x", "absolute path"), ("k", "note too short"), ("m", "unjustified")}
     with pytest.raises(ratchet.BaselineError):
@@ -86,6 +90,11 @@ def test_drift_boundaries(spark):
     a = spark.createDataFrame([("e", 3, None), ("s", None, "x"), ("r", None, "x")], "f string, count long, error string")
     b = spark.createDataFrame([("e", None, "x"), ("s", None, "x"), ("r", 4, None)], "f string, count long, error string")
     assert {r["f"]: r["kind"] for r in temporal.drift(a, b, ["f"], error="error").collect()} == {"e": "errored", "s": "still-errored", "r": "recovered"}
+    rows_ = lambda *x: spark.createDataFrame(list(x), "repo string, f string, count long, error string")
+    a = rows_(("p", "x", 1, None), ("p", "both", 3, "x"), ("gone", "x", 9, None))
+    b = rows_(("p", "x", 1, None), ("p", "fresh", None, "x"), ("p", "both", None, "x"), ("new", "x", 7, None))
+    assert rows(temporal.drift(a, b, ["repo", "f"], error="error", repo="repo").select("repo", "f", "kind")) == [("p", "both", "errored"), ("p", "fresh", "errored")]
+    assert rows(temporal.repo_gone(a, b)) == [("gone", "repo-gone")]
 
 
 def test_shards_may_not_share_a_repository(spark):
@@ -127,7 +136,18 @@ def test_statistics_edges(spark):
     assert sorted(r["r"] for r in stats.average_ranks(ties, ["g"], "v", "r").collect()) == [1.0, 2.5, 2.5, 4.0]
     res = spark.createDataFrame([("a", float("nan"), None), ("b", 1.0, None), ("c", None, "ValueError")], "case string, value double, error string")
     con = spark.createDataFrame([("a", "nan"), ("b", "finite"), ("c", "nan_or_valueerror"), ("c", "raise:ValueError"), ("c", "no_crash"), ("z", "any")], "case string, contract string")
-    assert {(r[0], r[1]): r[2] for r in stats.edge_verdicts(res, con).collect()} == {("a", "nan"): True, ("b", "finite"): True, ("c", "nan_or_valueerror"): True, ("c", "raise:ValueError"): True, ("c", "no_crash"): False, ("z", "any"): True}
+    assert {(r[0], r[1]): r[2] for r in stats.edge_verdicts(res, con).collect()} == {("a", "nan"): True, ("b", "finite"): True, ("c", "nan_or_valueerror"): True, ("c", "raise:ValueError"): True, ("c", "no_crash"): True, ("z", "any"): True}
+    errors = ("ValueError", "TypeError", "UnicodeDecodeError", "KeyError", "IndexError", "ZeroDivisionError", "RuntimeWarning", "Own")
+    res = spark.createDataFrame([(e, None, e) for e in errors] + [("none", None, None), ("x", 2.0, None), ("inf", float("inf"), None), ("nan", float("nan"), None)], "case string, value double, error string")
+    tokens = ("nan", "finite", "nan_or_valueerror", "no_crash", "any", "raise:ValueError", "raise:LookupError", "raise:Own")
+    ok = {(r[0], r[1]) for r in stats.edge_verdicts(res, spark.createDataFrame([(c, k) for c in [*errors, "x", "inf", "nan"] for k in tokens], "case string, contract string")).collect() if r[2]}
+    soft = {(e, k) for e in ("ValueError", "TypeError", "UnicodeDecodeError") for k in ("nan_or_valueerror", "no_crash")}
+    assert ok == soft | {(e, "any") for e in ("ValueError", "TypeError", "UnicodeDecodeError", "KeyError", "Own", "x", "inf", "nan")} | {
+        ("ValueError", "raise:ValueError"), ("UnicodeDecodeError", "raise:ValueError"), ("KeyError", "raise:LookupError"), ("Own", "raise:Own"),
+        ("x", "finite"), ("x", "no_crash"), ("inf", "no_crash"), ("nan", "no_crash"), ("nan", "nan"), ("nan", "nan_or_valueerror"),
+    }
+    with pytest.raises(Exception, match="unknown contract"):
+        stats.edge_verdicts(res, spark.createDataFrame([("x", "fine")], "case string, contract string")).collect()
 
 
 def test_text_queries(spark):
@@ -198,6 +218,9 @@ def test_contracts(spark, tmp_path):
     clean = contracts.QuerySpec("clean", lambda s, d: d.where("false"))
     assert not cache.run(spark, clean, src).cached and cache.run(spark, clean, src).cached
     assert not cache.run(spark, clean, src.limit(1)).cached
+    assert not cache.run(spark, contracts.QuerySpec("clean", lambda s, d: d.where("1 = 0")), src).cached
+    limits = [contracts.QuerySpec("n", (lambda n: lambda s, d: d.where(f"length(key) > {n}"))(n)) for n in (5, 6)]
+    assert not cache.run(spark, limits[0], src).cached and not cache.run(spark, limits[1], src).cached and cache.run(spark, limits[1], src).cached
 
 
 def test_file_sources(spark, tmp_path):
@@ -218,3 +241,16 @@ def test_names(spark):
     df = spark.createDataFrame([("np.random.seed", "numpy", "tests/a.py"), ("f", None, "src/a_test.py")], "d string, t string, p string")
     got = [tuple(r) for r in df.select(names.final_name(F.col("d")), names.head_name(F.col("d")), names.resolved(F.col("d"), F.col("t")), names.is_core_test_path(F.col("p")), names.is_text_test_path(F.col("p"))).collect()]
     assert got == [("seed", "np", "numpy.random.seed", True, True), ("f", "f", "f", False, True)]
+
+
+def test_deep_expressions_are_parsed(spark):
+    """A long sum nests deeper than the interpreter recurses; it doesn't take the other files with it."""
+    from gneiss.sources import pysource
+
+    files_ = [("sum.py", "x = " + "+".join(["1"] * 3000) + "\n"), ("deep.py", "x = " + "-" * 20000 + "1\n"), ("ok.py", "y = 2  # note\n"), ("call.py", "z" + ".a()" * 1500 + "\n")]
+    nodes = pysource.parse(spark.createDataFrame(files_, "path string, text string")).select("path", "kind", "name", "code").collect()
+    by = {p: [r for r in nodes if r["path"] == p] for p, _ in files_}
+    assert {r["kind"] for r in by["ok.py"]} == {"Module", "Assign", "Name", "Constant", "Comment"}
+    for p, text in files_:
+        assert by[p][0]["kind"] == "Problem" or any(len(r["code"]) >= len(text) - 10 for r in by[p])
+    assert sum(r["kind"] == "Call" for r in by["call.py"]) in (0, 1500)
