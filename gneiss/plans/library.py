@@ -230,15 +230,6 @@ def shrink_only_events(s, d):
     return ratchet.shrink_only(*halves(s, d), slack=1)
 
 
-@query(
-    "except_all_events",
-    "SELECT user_id, event_type FROM (SELECT user_id, event_type FROM events WHERE event_id % 3 = 0 EXCEPT ALL SELECT user_id, event_type FROM events WHERE event_id % 3 = 1)",
-)
-def except_all_events(s, d):
-    e = t(s, d, "events")
-    return e.where("event_id % 3 = 0").select("user_id", "event_type").exceptAll(e.where("event_id % 3 = 1").select("user_id", "event_type"))
-
-
 @query(
     "except_all_event_halves",
     "SELECT user_id, event_type FROM events WHERE event_id % 2 IS NOT DISTINCT FROM 0 EXCEPT ALL SELECT user_id, event_type FROM events WHERE event_id % 2 IS DISTINCT FROM 0",
@@ -271,20 +262,31 @@ def red_streaks(s, d):
     return temporal.red_streaks(e, ["user_id"], id="event_id", at="ts")
 
 
+#: A snapshot of the events of a half: a finder counts those of a value from its own limit on, and errs, without a count, if the half's largest event_id of it ends in 7.
+SNAPSHOT = (
+    "SELECT event_type AS repo, user_id % 97 AS finder, CASE WHEN max(event_id) % 10 = 7 THEN NULL ELSE count(*) FILTER (WHERE value >= user_id % 97) END AS n, CASE WHEN max(event_id) % 10 = 7 THEN 'e' END AS err FROM events, m "
+)
+
+
 @query(
     "drift_of_event_types",
-    "WITH m AS (SELECT (min(event_id) + max(event_id)) / 2 AS m FROM events), a AS (SELECT event_type || CAST(user_id % 50 AS VARCHAR) AS finder, count(*) AS n FROM events, m WHERE event_id < m AND event_id % 5 <> 0 GROUP BY 1), "
-    "b AS (SELECT event_type || CAST(user_id % 50 AS VARCHAR) AS finder, count(*) AS n FROM events, m WHERE event_id >= m GROUP BY 1) "
-    "SELECT * FROM (SELECT coalesce(a.finder, b.finder) AS finder, a.n AS before, b.n AS after, CASE WHEN b.n IS NULL THEN 'gone' WHEN a.n IS NULL THEN 'new' WHEN b.n - a.n > 5 AND b.n > a.n * 1.2 THEN 'jump' END AS kind "
-    "FROM a FULL OUTER JOIN b ON a.finder = b.finder) WHERE kind IS NOT NULL",
+    f"WITH m AS (SELECT (min(event_id) + max(event_id)) / 2 AS m FROM events), a AS ({SNAPSHOT} WHERE event_id < m GROUP BY 1, 2), b AS ({SNAPSHOT} WHERE event_id >= m GROUP BY 1, 2), "
+    "j AS (SELECT coalesce(a.repo, b.repo) AS repo, coalesce(a.finder, b.finder) AS finder, a.n AS before, b.n AS after, a.err AS be, b.err AS ae FROM a FULL OUTER JOIN b ON a.repo = b.repo AND a.finder = b.finder) "
+    "SELECT * FROM (SELECT repo, finder, before, after, CASE WHEN ae IS NOT NULL THEN CASE WHEN be IS NOT NULL AND before IS NULL THEN 'still-errored' ELSE 'errored' END WHEN after IS NULL THEN CASE WHEN before IS NOT NULL THEN 'gone' END "
+    "WHEN before IS NULL THEN CASE WHEN be IS NOT NULL THEN 'recovered' ELSE 'new' END WHEN before > 0 AND after = 0 THEN 'blind' WHEN after - before > 5 AND after > before * 1.2 THEN 'jump' END AS kind "
+    "FROM j WHERE repo IN (SELECT repo FROM a) AND repo IN (SELECT repo FROM b)) WHERE kind IS NOT NULL",
 )
 def drift_of_event_types(s, d):
-    e = t(s, d, "events").select("event_id", F.concat("event_type", (F.col("user_id") % 50).cast("string")).alias("finder"))
+    """Both halves of all events; finders and their errors are made up from users and ids."""
+    e = t(s, d, "events").select("event_id", "value", F.col("event_type").alias("repo"), (F.col("user_id") % 97).alias("finder"))
     m = e.agg(((F.min("event_id") + F.max("event_id")) / 2).alias("m"))
     e = e.crossJoin(F.broadcast(m))  # one row
-    a = e.where("event_id < m and event_id % 5 <> 0").groupBy("finder").agg(F.count("*").alias("count"))
-    b = e.where("event_id >= m").groupBy("finder").agg(F.count("*").alias("count"))
-    return temporal.drift(a, b, ["finder"])
+
+    def snapshot(half):
+        each = half.groupBy("repo", "finder").agg((F.max("event_id") % 10 == 7).alias("bad"), F.count(F.when(F.col("value") >= F.col("finder"), 1)).alias("n"))
+        return each.select("repo", "finder", F.when(~F.col("bad"), F.col("n")).alias("count"), F.when(F.col("bad"), "e").alias("error"))
+
+    return temporal.drift(snapshot(e.where("event_id < m")), snapshot(e.where("event_id >= m")), ["repo", "finder"], error="error", repo="repo")
 
 
 @query(
@@ -343,15 +345,21 @@ def stable_moments(s, d):
 # --- text ----------------------------------------------------------------------------------------
 
 
+#: The first line of each document and, where it isn't empty, one after its last are planted with a marker or something like one.
+PLANTED = (("TODO", "hack: later"), ("fixme (ann)", "see TODO"), ("XXXL", "xxx 2024-05-01"), ("none", "none"))
+
+
 @query(
     "debt_markers",
-    "WITH l AS (SELECT path, CAST(i AS INTEGER) AS line, x[i] AS text FROM (SELECT 'doc/' || doc_id AS path, string_split('# ' || (CASE doc_id % 4 WHEN 0 THEN 'TODO' WHEN 1 THEN 'fixme (ann)' WHEN 2 THEN 'XXXL' ELSE 'none' END) || ' ' || left(replace(text, chr(10), ' '), 20) || chr(10) || text, chr(10)) AS x FROM documents), range(1, 5) r(i) WHERE i <= len(x)) "
+    "WITH p AS (SELECT 'doc/' || doc_id AS path, '# ' || " + " || ".join(f"CASE doc_id % 4 {' '.join(f'WHEN {k} THEN {chr(39)}{x[i]}{chr(39)}' for k, x in enumerate(PLANTED))} END || " + end for i, end in ((0, "' ' || left(replace(text, chr(10), ' '), 20) || chr(10) || text || chr(10) || '# '"), (1, "''"))) + " AS x FROM documents), "
+    "l AS (SELECT path, CAST(unnest(range(1, len(y) + 1)) AS INTEGER) AS line, unnest(y) AS text FROM (SELECT path, string_split(x, chr(10)) AS y FROM p)) "
     "SELECT path, line, upper(regexp_extract(text, '(?i)#\\s*(TODO|FIXME|XXX|HACK)\\b', 1)) AS marker, regexp_matches(text, '\\([^)]*\\)|\\d{4}-\\d{2}-\\d{2}|@\\w+') AS attributed FROM l WHERE regexp_matches(text, '(?i)#\\s*(TODO|FIXME|XXX|HACK)\\b')",
 )
 def debt_markers(s, d):
-    """Markers in all lines of documents that carry a planted first line; the SQL reads the first four only."""
+    """Markers in all lines of documents that carry a planted first and last line."""
     k = F.col("doc_id") % 4
-    planted = F.concat(F.lit("# "), F.when(k == 0, "TODO").when(k == 1, "fixme (ann)").when(k == 2, "XXXL").otherwise("none"), F.lit(" "), F.left(F.translate("text", "\n", " "), F.lit(20)), F.lit("\n"), F.col("text"))
+    one = lambda i: F.when(k == 0, PLANTED[0][i]).when(k == 1, PLANTED[1][i]).when(k == 2, PLANTED[2][i]).when(k == 3, PLANTED[3][i])
+    planted = F.concat(F.lit("# "), one(0), F.lit(" "), F.left(F.translate("text", "\n", " "), F.lit(20)), F.lit("\n"), F.col("text"), F.lit("\n# "), one(1))
     docs = t(s, d, "documents").select("doc_id", planted.alias("text"))
     found = text.markers(text.lines(docs, F.concat(F.lit("doc/"), F.col("doc_id").cast("string"))))
     return found.select("path", "line", "marker", "attributed")
@@ -367,7 +375,7 @@ def glyph_lines(s, d):
 
 @query(
     "keyed_lines",
-    "WITH l AS (SELECT doc_id, i AS line, trim(regexp_replace(x[i], '\\s+', ' ', 'g')) AS t FROM (SELECT doc_id, string_split(text, chr(10)) AS x FROM documents), range(1, 4000) r(i) WHERE i <= len(x)), "
+    "WITH l AS (SELECT doc_id, line, trim(regexp_replace(x, '\\s+', ' ', 'g')) AS t FROM (SELECT doc_id, unnest(string_split(text, chr(10))) AS x, unnest(range(1, len(string_split(text, chr(10))) + 1)) AS line FROM documents)), "
     "n AS (SELECT doc_id, line, t, row_number() OVER (PARTITION BY doc_id, t ORDER BY line) AS k FROM l) SELECT doc_id || '::' || t || ' #' || k AS key FROM n WHERE k > 1",
 )
 def keyed_lines(s, d):
@@ -399,38 +407,46 @@ def mojibake_lines(s, d):
 
 # --- class R: graphs -----------------------------------------------------------------------------
 
-EDGES = "WITH RECURSIVE e AS (SELECT DISTINCT c_custkey % 97 AS src, (c_custkey * 7 + c_nationkey) % 97 AS dst FROM customer WHERE c_custkey % 3 = 0 AND c_custkey < 300 UNION SELECT 200 + c_nationkey, 200 + (c_nationkey + 1) % 5 FROM customer WHERE c_nationkey < 5), "
+#: A region to its nations, a nation to its suppliers, and a supplier in the black back to its region; all rows of the three tables.
+EDGES = (
+    "WITH RECURSIVE e AS (SELECT 3 * r_regionkey::BIGINT AS src, 3 * n_nationkey::BIGINT + 1 AS dst FROM region JOIN nation ON n_regionkey = r_regionkey "
+    "UNION SELECT 3 * s_nationkey::BIGINT + 1, 3 * s_suppkey + 2 FROM supplier UNION SELECT 3 * s_suppkey + 2, 3 * n_regionkey::BIGINT FROM supplier JOIN nation ON n_nationkey = s_nationkey WHERE s_acctbal > 0), "
+)
 
 
-def edges(s, d):
-    c = t(s, d, "customer")
-    a = c.where("c_custkey % 3 = 0 and c_custkey < 300").selectExpr("c_custkey % 97 as src", "(c_custkey * 7 + c_nationkey) % 97 as dst")
-    return a.union(c.where("c_nationkey < 5").selectExpr("cast(200 + c_nationkey as bigint) as src", "cast(200 + (c_nationkey + 1) % 5 as bigint) as dst")).distinct()
+def supply_edges(s, d):
+    n, sup = t(s, d, "nation"), t(s, d, "supplier")
+    down = t(s, d, "region").join(n, F.col("n_regionkey") == F.col("r_regionkey")).select((F.col("r_regionkey").cast("long") * 3).alias("src"), (F.col("n_nationkey").cast("long") * 3 + 1).alias("dst"))
+    to = sup.select((F.col("s_nationkey").cast("long") * 3 + 1).alias("src"), (F.col("s_suppkey") * 3 + 2).alias("dst"))
+    back = sup.where("s_acctbal > 0").join(n, F.col("n_nationkey") == F.col("s_nationkey")).select((F.col("s_suppkey") * 3 + 2).alias("src"), (F.col("n_regionkey").cast("long") * 3).alias("dst"))
+    return down.union(to).union(back).distinct()
 
 
 @query(
-    "reachable_nodes",
-    EDGES + "r AS (SELECT 0::BIGINT AS node, 0 AS depth UNION SELECT e.dst, r.depth + 1 FROM r JOIN e ON e.src = r.node WHERE r.depth < 60) SELECT node, CAST(min(depth) AS INTEGER) AS depth FROM r GROUP BY 1",
+    "reachable_from_a_region",
+    EDGES + "r AS (SELECT min(src) AS node, 0 AS depth FROM e UNION SELECT e.dst, r.depth + 1 FROM r JOIN e ON e.src = r.node WHERE r.depth < 6) SELECT node, CAST(min(depth) AS INTEGER) AS depth FROM r WHERE node IS NOT NULL GROUP BY 1",
 )
-def reachable_nodes(s, d):
-    return graph.reachable(edges(s, d), s.createDataFrame([(0,)], "node bigint")).select("node", "depth")
+def reachable_from_a_region(s, d):
+    """From the region of the smallest key; no way without a repeated node is longer than three steps."""
+    e = supply_edges(s, d)
+    return graph.reachable(e, e.agg(F.min("src").alias("node")).where("node is not null")).select("node", "depth")
 
 
 @query(
-    "cycle_members",
+    "supply_cycle_members",
     EDGES + "r AS (SELECT src AS a, dst AS b FROM e WHERE src <> dst UNION SELECT r.a, e.dst FROM r JOIN e ON e.src = r.b WHERE e.src <> e.dst) "
     "SELECT x.a AS node, least(x.a, min(x.b)) AS cycle FROM r x JOIN r y ON x.a = y.b AND x.b = y.a WHERE x.a <> x.b GROUP BY 1",
 )
-def cycle_members(s, d):
-    return graph.cycles(edges(s, d))
+def supply_cycle_members(s, d):
+    return graph.cycles(supply_edges(s, d))
 
 
 @query(
-    "connected_components",
+    "supply_components",
     EDGES + "u AS (SELECT src AS a, dst AS b FROM e UNION SELECT dst, src FROM e), r AS (SELECT a, b FROM u UNION SELECT r.a, u.b FROM r JOIN u ON u.a = r.b) SELECT a AS node, least(a, min(b)) AS component FROM r GROUP BY 1",
 )
-def connected_components(s, d):
-    return graph.components(edges(s, d))
+def supply_components(s, d):
+    return graph.components(supply_edges(s, d))
 
 
 def trade_edges(s, d):
