@@ -62,7 +62,10 @@ local("systemexit_in_library", "P2", "kind = 'Raise' AND name = 'SystemExit' AND
 
 # --- row-local: calls ---
 CALL = "kind = 'Call'"
-local("missing_network_timeout", "P1", f"{CALL} AND name RLIKE '^(requests|httpx)\\\\.(get|post|put|patch|delete|head|request)$|(^|\\\\.)urlopen$' AND NOT contains(attrs['kwargs'], ',timeout,') AND NOT contains(attrs['kwargs'], ',**,')", "name || ' without a timeout'", "import requests\nrequests.get('u')\n", "import requests\nrequests.get('u', timeout=3)\n")
+#: A timeout of None is none; what was made with a session class has no timeout of its own.
+NO_TIMEOUT = "(NOT contains(attrs['kwargs'], ',timeout,') OR contains(attrs['none_kwargs'], ',timeout,')) AND NOT contains(attrs['kwargs'], ',**,')"
+ON_SESSION = "(attrs['instance'] IN ('requests.Session', 'requests.sessions.Session') AND substring_index(name, '.', -1) RLIKE '^(get|post|put|patch|delete|head|options|request)$')"
+local("missing_network_timeout", "P1", f"{CALL} AND (name RLIKE '^(requests|httpx)\\\\.(get|post|put|patch|delete|head|options|request)$|(^|\\\\.)urlopen$' OR {ON_SESSION}) AND {NO_TIMEOUT}", "name || ' without a timeout'", "import requests\nrequests.get('u')\n", "import requests\nrequests.get('u', timeout=3)\n")
 local("sync_blocking_in_async", "P1", f"{CALL} AND in_async AND attrs['awaited'] = 'false' AND name RLIKE '^(requests\\\\..*|httpx\\\\.(get|post|put|delete|request)|time\\\\.sleep|subprocess\\\\.(run|call|check_call|check_output))$'", "name || ' blocks the event loop'", "async def f():\n    time.sleep(1)\n", "async def f():\n    await asyncio.sleep(1)\n")
 local("async_primitive_reinit_per_call", "P1", f"{CALL} AND name RLIKE '^asyncio\\\\.(Lock|Event|Semaphore|Condition)$' AND scope_kind = 'function' AND NOT endswith(scope, '__init__')", "name || ' is new in each call'", "async def f():\n    async with asyncio.Lock():\n        pass\n", "lock = asyncio.Lock()\nasync def f():\n    async with lock:\n        pass\n")
 local("console_unicode", "Low", f"{CALL} AND (name = 'print' OR substring_index(name, '.', -1) IN ('info', 'warning', 'error', 'debug')) AND attrs['text'] RLIKE '[^\\\\x00-\\\\x7F]'", "'prints a character beyond ASCII'", "print('caf\\u00e9')\n".encode().decode("unicode_escape"), "print('cafe')\n")

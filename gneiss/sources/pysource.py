@@ -35,13 +35,122 @@ def dotted(node: ast.AST | None) -> str:
     return ".".join(reversed(parts))
 
 
+SCOPES = (*FUNCTIONS, ast.ClassDef, ast.Lambda)
+
+
+class Names:
+    """What the names of one scope stand for: an import's dotted target, an instance of a class, or something else (None).
+
+    A name that a scope binds hides it in the scopes around; bound in two ways it stands for neither. A class's names aren't
+    seen from the functions in it. ``held``: dotted attributes (self.session) that the file sets to a new instance, for all scopes.
+    """
+
+    def __init__(self, owner: ast.AST, around: Names | None):
+        self.around = around if around is None or not isinstance(around.owner, ast.ClassDef) else around.around
+        self.owner, self.held = owner, around.held if around else {}
+        self.targets: dict[str, str | None] = {}
+        self.outer: set[str] = set()
+        self.instances: dict[str, str] = {}
+        if isinstance(owner, (*FUNCTIONS, ast.Lambda)):
+            a = owner.args
+            for x in [*a.posonlyargs, *a.args, *a.kwonlyargs, a.vararg, a.kwarg]:
+                if x is not None:
+                    self._bind(x.arg, None)
+        inside = self._inside(owner)
+        self.outer = {x for n in inside if isinstance(n, (ast.Global, ast.Nonlocal)) for x in n.names}
+        made = []
+        for n in inside:
+            if isinstance(n, (ast.Import, ast.ImportFrom)):
+                self._imports(n)
+            elif isinstance(n, ast.Name) and not isinstance(n.ctx, ast.Load):
+                self._bind(n.id, None)
+            elif isinstance(n, ast.ExceptHandler) and n.name:
+                self._bind(n.name, None)
+            elif isinstance(n, (*FUNCTIONS, ast.ClassDef)):
+                self._bind(n.name, None)
+            if isinstance(n, ast.Assign):
+                made += [(t, n.value) for t in n.targets]
+            elif isinstance(n, ast.AnnAssign) and n.value is not None:
+                made.append((n.target, n.value))
+            elif isinstance(n, ast.withitem) and n.optional_vars is not None:
+                made.append((n.optional_vars, n.context_expr))
+        # x = pickle is another name for the module, x = Session() an instance, if nothing else binds x
+        once = [t.id for t, _ in made if isinstance(t, ast.Name)]
+        for t, value in made:
+            what = self.resolved(dotted(value.func if isinstance(value, ast.Call) else value)) if isinstance(value, (ast.Name, ast.Attribute, ast.Call)) else ""
+            if not what or what.startswith("?"):
+                continue
+            if isinstance(value, ast.Call):
+                if what.rsplit(".", 1)[-1][:1].isupper():
+                    if isinstance(t, ast.Name) and once.count(t.id) == 1:
+                        self.instances[t.id] = what
+                    elif isinstance(t, ast.Attribute):
+                        self.held[dotted(t)] = what
+            elif isinstance(t, ast.Name) and once.count(t.id) == 1 and self.imported(dotted(value)):
+                self.targets[t.id] = what
+
+    @staticmethod
+    def _inside(owner: ast.AST) -> list[ast.AST]:
+        """The nodes of a scope; of the scopes in it what stands around their bodies."""
+        out, stack = [], [owner.body] if isinstance(owner, ast.Lambda) else list(owner.body)
+        while stack:
+            n = stack.pop()
+            out.append(n)
+            stack += [c for f, v in ast.iter_fields(n) if f != "body" or not isinstance(n, SCOPES) for c in (v if isinstance(v, list) else [v]) if isinstance(c, ast.AST)]
+        return out
+
+    def _bind(self, name: str, target: str | None) -> None:
+        if name not in self.outer:
+            self.targets[name] = target if name not in self.targets or self.targets[name] == target else None
+
+    def _imports(self, n: ast.Import | ast.ImportFrom) -> None:
+        for x in n.names:
+            if isinstance(n, ast.Import):
+                self._bind(x.asname or x.name.split(".")[0], x.name if x.asname else x.name.split(".")[0])
+            elif x.name != "*":
+                base = "." * n.level + (n.module or "")
+                self._bind(x.asname or x.name, base + ("" if base.endswith(".") else ".") + x.name)
+
+    def _home(self, head: str) -> Names | None:
+        scope: Names | None = self
+        while scope is not None and head not in scope.targets:
+            scope = scope.around
+        return scope
+
+    def imported(self, name: str) -> bool:
+        scope = self._home(name.split(".")[0])
+        return scope is not None and scope.targets[name.split(".")[0]] is not None
+
+    def resolved(self, name: str) -> str:
+        """A dotted name with what its head stands for; one whose head hides an import starts with a question mark."""
+        head, dot, rest = name.partition(".")
+        scope = self._home(head)
+        if scope is None:
+            return name
+        target = scope.targets[head]
+        if target is not None:
+            return target + dot + rest
+        hidden = scope.around._home(head) if scope.around else None
+        return "?" + dot + rest if hidden is not None and hidden.targets[head] is not None else name
+
+    def instance(self, name: str) -> str:
+        """The class of what a dotted name's last part is called on, if that was set to a new instance, else empty."""
+        on = name.rpartition(".")[0]
+        if not on:
+            return ""
+        if "." in on:
+            return self.held.get(on, "")
+        scope = self._home(on)
+        return scope.instances.get(on, "") if scope else ""
+
+
 def is_test_path(path: str) -> bool:
     parts = path.split("/")
     return "tests" in parts[:-1] or parts[-1].startswith("test_") or parts[-1] == "conftest.py"
 
 
-def _attrs(n: ast.AST, parent: ast.AST | None) -> tuple[str, dict[str, str]]:
-    """A node's name and what rules ask of it."""
+def _attrs(n: ast.AST, parent: ast.AST | None, names: Names) -> tuple[str, dict[str, str]]:
+    """A node's name and what rules ask of it. A call's name is that of what its scope's names stand for; ``written`` is as it stands."""
     a: dict[str, str] = {}
     name = ""
     if isinstance(n, (*FUNCTIONS, ast.ClassDef)):
@@ -70,7 +179,9 @@ def _attrs(n: ast.AST, parent: ast.AST | None) -> tuple[str, dict[str, str]]:
             a["asserts"] = str(len(asserts))
             a["not_none_asserts"] = str(sum(ast.unparse(s.test).endswith((" is not None", " != None")) for s in asserts))
     elif isinstance(n, ast.Call):
-        name = dotted(n.func)
+        a["written"] = dotted(n.func)
+        name, a["instance"] = names.resolved(a["written"]), names.instance(a["written"])
+        a["none_kwargs"] = "," + ",".join(k.arg for k in n.keywords if k.arg and isinstance(k.value, ast.Constant) and k.value.value is None) + ","
         a["args"] = ", ".join(ast.unparse(x) for x in n.args)
         a["n_args"] = str(len(n.args))
         a["kwargs"] = "," + ",".join(k.arg or "**" for k in n.keywords) + ","
@@ -192,13 +303,28 @@ def _rows(path: str, text: str | None) -> Iterator[tuple]:
         yield row(0, -1, 0, "Problem", "unparsable", getattr(e, "lineno", 0) or 0, 0, "", "", none, True, "", {}, str(e) or type(e).__name__)
         return
     count = 0
-    stack = [(tree, None, -1, 0, "", "module", none)]
+    try:
+        root = Names(tree, None)
+        # attributes set to instances anywhere are known before any call is looked at
+        scopes = {id(tree): root}
+        todo = [(tree, root)]
+        while todo:
+            n, names = todo.pop()
+            for c in ast.iter_child_nodes(n):
+                inner = names
+                if isinstance(c, SCOPES):
+                    inner = scopes[id(c)] = Names(c, names)
+                todo.append((c, inner))
+    except RecursionError:
+        yield row(0, -1, 0, "Problem", "unparsable", 0, 0, "", "", none, True, "", {}, "too deep")
+        return
+    stack = [(tree, None, -1, 0, "", "module", none, root)]
     while stack:
-        n, parent, up, depth, scope, scope_kind, flags = stack.pop()
+        n, parent, up, depth, scope, scope_kind, flags, names = stack.pop()
         me, count = count, count + 1
         kind = type(n).__name__
         try:
-            name, attrs = _attrs(n, parent)
+            name, attrs = _attrs(n, parent, names)
         except RecursionError:
             # too deep to be read as a whole; its parts are rows of their own
             name, attrs = "", {"too_deep": "true"}
@@ -222,7 +348,9 @@ def _rows(path: str, text: str | None) -> Iterator[tuple]:
                         handler or isinstance(n, ast.ExceptHandler),
                         in_with or isinstance(n, (ast.With, ast.AsyncWith)) and field == "body",
                     )
-                    stack.append((child, n, me, depth + 1, inner_scope, inner_kind, inside))
+                    # decorators, defaults and bases belong to the scope around
+                    within = scopes[id(n)] if id(n) in scopes and field == "body" else names
+                    stack.append((child, n, me, depth + 1, inner_scope, inner_kind, inside, within))
     try:
         for k in tokenize.generate_tokens(io.StringIO(text).readline):
             if k.type == tokenize.COMMENT:
