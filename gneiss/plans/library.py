@@ -190,7 +190,14 @@ def near_copies_of_documents(s, d):
     return similarity.near_copies(bodies)
 
 
-@query("near_copy_candidates")
+@query(
+    "near_copy_candidates",
+    "WITH w AS (SELECT doc_id, regexp_split_to_array(text, '\\s+') AS ws FROM documents), "
+    "s AS (SELECT DISTINCT doc_id, array_to_string(list_slice(ws, i, i + 7), chr(1)) AS h FROM (SELECT doc_id, ws, unnest(range(1, len(ws) - 6)) AS i FROM w WHERE len(ws) >= 20)), "
+    "m AS (SELECT doc_id, count(*) AS m FROM s GROUP BY 1), f AS (SELECT h FROM s GROUP BY 1 HAVING count(*) BETWEEN 2 AND 80), live AS (SELECT doc_id, h FROM s JOIN f USING (h)), "
+    "p AS (SELECT x.doc_id AS a, y.doc_id AS b, count(*) AS shared FROM live x JOIN live y ON x.h = y.h AND x.doc_id < y.doc_id GROUP BY 1, 2) "
+    "SELECT a, b, shared FROM p JOIN m x ON x.doc_id = a JOIN m y ON y.doc_id = b WHERE shared >= 0.5 * least(x.m, y.m)",
+)
 def near_copy_candidates(s, d):
     bodies = t(s, d, "documents").select(F.col("doc_id").alias("fn_id"), F.split("text", r"\s+").alias("tokens")).where(F.size("tokens") >= 20)
     return similarity.near_candidates(bodies)
@@ -398,7 +405,19 @@ def cue_agreement(s, d):
     return text.cue_agreement(rows, "doc_id", "declared", "text", CUES)
 
 
-@query("mojibake_lines")
+#: The upper half of the code page, in order; the byte that it leaves out is a letter that no run holds.
+CP1251 = bytes(range(128, 256)).decode("cp1251", "replace").replace("\ufffd", "x")
+
+
+@query(
+    "mojibake_lines",
+    "WITH d AS (SELECT doc_id AS path, string_split(CASE WHEN doc_id % 10 = 0 THEN 'РџСЂРёРІРµС‚ ' ELSE '' END || text, chr(10)) AS x FROM documents), "
+    "l AS (SELECT path, unnest(x) AS t, CAST(unnest(range(1, len(x) + 1)) AS INTEGER) AS line FROM d), "
+    "r AS (SELECT path, line, unnest(rs) AS was, unnest(range(0, len(rs))) AS k FROM (SELECT path, line, regexp_extract_all(t, '[^\\x00-\\x7F]{3,}') AS rs FROM l)), "
+    f"h AS (SELECT *, array_to_string(list_transform(string_split(was, ''), lambda c: CASE WHEN strpos('{CP1251}', c) > 0 THEN printf('%02X', CAST(127 + strpos('{CP1251}', c) AS INTEGER)) ELSE 'ZZ' END), '') AS bytes FROM r), "
+    "m AS (SELECT path, line, k, was, CASE WHEN contains(bytes, 'Z') THEN NULL ELSE TRY(decode(unhex(bytes))) END AS means FROM h) "
+    "SELECT path, line, arg_min(was, k) AS was, arg_min(means, k) AS means FROM m WHERE means IS NOT NULL AND means <> was GROUP BY 1, 2",
+)
 def mojibake_lines(s, d):
     """Lines of documents, of which every tenth document's accents were read in the wrong code page first."""
     broken = F.when(F.col("doc_id") % 10 == 0, F.concat(F.lit("РџСЂРёРІРµС‚ "), F.col("text"))).otherwise(F.col("text"))
