@@ -35,13 +35,37 @@ def crc_fold(doc_id: Column, n: int) -> Column:
     return F.crc32(F.coalesce(doc_id.cast("string"), F.lit("")).cast("binary")) % n
 
 
+def bound(value: Column, f) -> Column:
+    """f(value) with ``value`` computed once, as the variable of a lambda over a one-element array."""
+    return F.get(F.transform(F.array(value), f), F.lit(0))
+
+
+def unused(df: DataFrame, *names: str) -> list[str]:
+    """Column names like ``names`` that ``df`` doesn't have (Spark doesn't tell upper and lower case apart)."""
+    taken, out = {c.lower() for c in df.columns}, []
+    for n in names:
+        while n.lower() in taken:
+            n += "_"
+        taken.add(n.lower())
+        out.append(n)
+    return out
+
+
+def with_fields(df: DataFrame, struct: Column, fields: tuple[str, ...]) -> DataFrame:
+    """``df`` with the fields of a struct that is computed once; they replace columns of the same name."""
+    [s] = unused(df, "fields")
+    return df.withColumn(s, struct).withColumns({c: F.col(f"{s}.{c}") for c in fields}).drop(s)
+
+
 def shared_dir(spark: SparkSession) -> str:
     """The folder that driver and executors share: ``spark.checkpoint.dir``.
 
-    Only a session without that setting (a test on one machine) gets a folder of its own.
+    Only a session on one machine (master ``local``) may lack the setting; it gets a folder of its own.
     """
     at = spark.conf.get("spark.checkpoint.dir", None)
     if not at:
+        if not spark.sparkContext.master.startswith("local") or spark.sparkContext.master.startswith("local-cluster"):
+            raise ValueError("spark.checkpoint.dir isn't set: a cluster needs a folder that all machines share")
         at = tempfile.mkdtemp(prefix="gneiss-")
         spark.conf.set("spark.checkpoint.dir", at)
     if spark.sparkContext._jsc.sc().getCheckpointDir().isEmpty():
