@@ -17,7 +17,8 @@ Training reads at most ``max_train_rows`` labelled rows (a bounded sample by a h
 those of the held-out fold; labels, lang, source and doc_id are no inputs.
 
 Defined results: null or empty text scores what the curve gives for no word; without any labelled
-row the score is 0; repeated rows score alike; an empty table gives an empty table; other columns
+row the score is 0; repeated rows score alike, and an id that repeats counts once in training, with its
+smallest text; an empty table gives an empty table; other columns
 pass through, output columns replace columns of the same name.
 """
 
@@ -35,6 +36,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from gneiss.llm.common import crc_fold
+from gneiss.shipping import ship
 
 WORD = re.compile(r"\w+")
 
@@ -47,7 +49,6 @@ class ToxicityParams:
     shortest: int = 3
     longest: int = 5
     window: int = 4
-    stride: int = 2
     epochs: int = 24
     #: epochs at the end in which positives choose their window by the model
     free_epochs: int = 6
@@ -68,14 +69,6 @@ def grams(word: str, p: ToxicityParams) -> list[int]:
     return [zlib.crc32(x.encode("utf-8", "surrogatepass")) % p.buckets for x in parts]
 
 
-def starts(n: int, p: ToxicityParams) -> np.ndarray:
-    """First words of the windows of a text of n words; the last window ends with the text."""
-    if n <= p.window:
-        return np.zeros(1, np.int64)
-    s = np.arange(0, n - p.window, p.stride)
-    return np.append(s, n - p.window)
-
-
 class Model:
     """bucket -> its part of the logit; bias; slope and offset of the score's curve."""
 
@@ -100,10 +93,9 @@ class Model:
             else:
                 get = cache.get
                 v = np.array([x if (x := get(w)) is not None else of(w) for w in words])
-                s = starts(len(v), p)
                 total = np.concatenate([[0.0], np.cumsum(v)])
                 width = min(len(v), p.window)
-                logit = self.bias + (total[s + width] - total[s]).max() / width
+                logit = self.bias + (total[width:] - total[:-width]).max() / width
             z = self.slope * logit + self.offset
             return float(1 / (1 + np.exp(-np.clip(z, -60, 60))))
 
@@ -147,13 +139,12 @@ def train(texts: list[str | None], toxic: list[int], p: ToxicityParams = Toxicit
     full = np.nonzero(np.array([len(d) > 0 for d in docs]))[0]
     if not len(full):
         return Model(np.zeros(p.buckets, np.float32), 0.0, 1.0, float(np.log((y.mean() + 1e-3) / (1 - y.mean() + 1e-3))), p)
-    # windows of all documents, one after the other
-    base = np.concatenate([[0], np.cumsum([len(docs[i]) for i in full])])
-    words = np.concatenate([docs[i] for i in full])
-    s_of = [starts(len(docs[i]), p) for i in full]
-    w_start = np.concatenate([s + b for s, b in zip(s_of, base[:-1], strict=True)])
-    w_width = np.repeat([min(len(docs[i]), p.window) for i in full], [len(s) for s in s_of])
-    w_first = np.concatenate([[0], np.cumsum([len(s) for s in s_of])])
+    # the words of all documents, one after the other; a window is known by its first word's place among them
+    edges = [0, *np.cumsum([len(docs[i]) for i in full]).tolist()]
+    words, spans = np.concatenate([docs[i] for i in full]), list(zip(edges[:-1], edges[1:], strict=True))
+    del docs
+    widths = np.array([min(b - a, p.window) for a, b in spans], np.int64)
+    windows = np.array([b - a for a, b in spans], np.int64) - widths + 1
     label = y[full]
     held = full % 5 == 0
     if len({*label[held]}) < 2 or len({*label[~held]}) < 2:
@@ -164,36 +155,38 @@ def train(texts: list[str | None], toxic: list[int], p: ToxicityParams = Toxicit
     w, c = rng.normal(0, 0.5, (p.dims, 2)), np.log(np.bincount(label, minlength=2) / len(label))
     ge, gw, gc = np.full((p.buckets, p.dims), 1e-6), np.full((p.dims, 2), 1e-6), np.full(2, 1e-6)
 
-    def window_logits() -> np.ndarray:
+    def strongest() -> tuple[np.ndarray, np.ndarray]:
+        """Each document's window of the largest logit, and that logit; a document at a time, which needs little memory."""
         part = e @ (w[:, 1] - w[:, 0])
         of_word = np.add.reduceat(part[bucket], first[:-1]) / lengths
-        total = np.concatenate([[0.0], np.cumsum(of_word[words])])
-        return (c[1] - c[0]) + (total[w_start + w_width] - total[w_start]) / w_width
-
-    def strongest() -> np.ndarray:
-        z = window_logits()
-        return np.array([a + int(np.argmax(z[a:b])) for a, b in zip(w_first[:-1], w_first[1:], strict=True)])
+        at, logit = np.empty(len(full), np.int64), np.empty(len(full))
+        for k, ((a, b), width) in enumerate(zip(spans, widths.tolist(), strict=True)):
+            total = np.concatenate([[0.0], np.cumsum(of_word[words[a:b]])])
+            sums = total[width:] - total[:-width]
+            best = int(np.argmax(sums))
+            at[k], logit[k] = a + best, (c[1] - c[0]) + sums[best] / width
+        return at, logit
 
     def telling() -> np.ndarray:
         """Each document's window with the word that tells its class best, by a two-sample test of document frequencies; -1 if no word tells."""
-        doc = np.repeat(np.arange(len(full)), np.diff(base))
-        seen = np.unique((doc * len(ids) + words)[~held[doc]])
-        of_doc, word = seen // len(ids), seen % len(ids)
-        y1 = label[of_doc] == 1
+        seen = np.zeros((2, len(ids)))
+        for (a, b), one, out in zip(spans, label.tolist(), held.tolist(), strict=True):
+            if not out:
+                seen[one, np.unique(words[a:b])] += 1
         n1, n0 = max(1, (label[learn] == 1).sum()), max(1, (label[learn] == 0).sum())
-        d1, d0 = np.bincount(word[y1], minlength=len(ids)), np.bincount(word[~y1], minlength=len(ids))
-        q = (d1 + d0 + 1) / (n1 + n0 + 2)
-        z = (d1 / n1 - d0 / n0) / np.sqrt(q * (1 - q) * (1 / n1 + 1 / n0))
-        top = np.full(len(w_start), -np.inf)
-        for k in range(p.window):
-            inside = k < w_width
-            top[inside] = np.maximum(top[inside], z[words[w_start[inside] + k]])
-        best = np.array([a + int(np.argmax(top[a:b])) for a, b in zip(w_first[:-1], w_first[1:], strict=True)])
-        return np.where(top[best] >= p.least_z, best, -1)
-
-    def step(rows: np.ndarray, windows: np.ndarray) -> None:
-        width = w_width[windows]
-        token = words[np.repeat(w_start[windows], width) + np.arange(width.sum()) - np.repeat(np.cumsum(width) - width, width)]
+        q = (seen.sum(axis=0) + 1) / (n1 + n0 + 2)
+        z = (seen[1] / n1 - seen[0] / n0) / np.sqrt(q * (1 - q) * (1 / n1 + 1 / n0))
+        best = np.empty(len(full), np.int64)
+        for k, ((a, b), width, n) in enumerate(zip(spans, widths.tolist(), windows.tolist(), strict=True)):
+            each = z[words[a:b]]
+            top = np.max([each[j : j + n] for j in range(width)], axis=0)
+            at = int(np.argmax(top))
+            best[k] = a + at if top[at] >= p.least_z else -1
+        return best
+
+    def step(rows: np.ndarray, starts: np.ndarray) -> None:
+        width = widths[rows]
+        token = words[np.repeat(starts, width) + np.arange(width.sum()) - np.repeat(np.cumsum(width) - width, width)]
         n = lengths[token]
         at = np.repeat(first[token], n) + np.arange(n.sum()) - np.repeat(np.cumsum(n) - n, n)
         b, weight = bucket[at], np.repeat(1 / (n * np.repeat(width, width)), n)
@@ -218,8 +211,8 @@ def train(texts: list[str | None], toxic: list[int], p: ToxicityParams = Toxicit
     signal = telling()
     for epoch in range(p.epochs):
         # negatives: any window at first, then the strongest; positives: the most telling window, at the end the strongest
-        any_window = w_first[:-1] + (rng.random(len(full)) * np.diff(w_first)).astype(np.int64)
-        chosen = any_window if epoch < 2 else strongest()
+        any_window = np.array(edges[:-1]) + (rng.random(len(full)) * windows).astype(np.int64)
+        chosen = any_window if epoch < 2 else strongest()[0]
         if epoch < p.epochs - p.free_epochs:
             chosen = np.where(label == 1, signal, chosen)
         rows = learn[chosen[learn] >= 0]
@@ -227,7 +220,7 @@ def train(texts: list[str | None], toxic: list[int], p: ToxicityParams = Toxicit
         for k in range(0, len(order), p.batch):
             step(order[k : k + p.batch], chosen[order[k : k + p.batch]])
 
-    best = np.maximum.reduceat(window_logits(), w_first[:-1])
+    best = strongest()[1]
     fit = held if held.any() else np.ones(len(full), bool)
     slope, offset = curve(best[fit], label[fit].astype(float))
     return Model((e @ (w[:, 1] - w[:, 0])).astype(np.float32), float(c[1] - c[0]), slope, offset, p)
@@ -236,10 +229,10 @@ def train(texts: list[str | None], toxic: list[int], p: ToxicityParams = Toxicit
 def fit_toxicity(documents: DataFrame, labels: DataFrame, p: ToxicityParams = ToxicityParams()) -> Model:
     """Trains on labelled rows outside the held-out fold (crc32 of the id as text, modulo 3, is 1)."""
     rows = labels.where(F.col("toxic").isNotNull() & F.col("doc_id").isNotNull() & (crc_fold(F.col("doc_id"), 3) != 1)).select("doc_id", "toxic")
-    some = rows.orderBy(F.xxhash64("doc_id", F.lit(p.seed)), "doc_id", "toxic").limit(p.max_train_rows)
-    # the sample is bounded, and so is what is broadcast and collected
-    seen = documents.select("doc_id", "text").join(F.broadcast(some), "doc_id").select("doc_id", "toxic", "text").limit(2 * p.max_train_rows).toPandas()
-    seen = seen.sort_values(["doc_id", "toxic", "text"], kind="stable")
+    some = rows.distinct().orderBy(F.xxhash64("doc_id", F.lit(p.seed)), "doc_id", "toxic").limit(p.max_train_rows)
+    # the sample is bounded, and so is what is broadcast and collected; of an id that repeats the smallest text counts
+    seen = documents.select("doc_id", "text").join(F.broadcast(some), "doc_id").groupBy("doc_id", "toxic").agg(F.min("text").alias("text")).toPandas()
+    seen = seen.sort_values(["doc_id", "toxic"], kind="stable")
     texts, toxic = seen["text"].tolist(), [int(x > 0) for x in seen["toxic"]]
     del seen
     return train(texts, toxic, p)
@@ -247,6 +240,7 @@ def fit_toxicity(documents: DataFrame, labels: DataFrame, p: ToxicityParams = To
 
 def toxicity(docs: DataFrame, model: Model, text: str = "text") -> DataFrame:
     """``docs`` with score (0 to 1) and predicted (1 from ``threshold`` on)."""
+    ship(docs.sparkSession)
     threshold = model.p.threshold
 
     @F.pandas_udf("double")
