@@ -27,7 +27,7 @@ from functools import reduce
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from gneiss.llm.common import SPACE_RE, words_of
+from gneiss.llm.common import SPACE_RE, bound, unused, words_of
 
 #: Fixed phrases of boilerplate lines, in lower case.
 BOILERPLATE = (
@@ -55,11 +55,6 @@ BASE = ("n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words")
 OUT = (*BASE, "base_failed", "kept_share", "cleaned_text", "kept")
 
 
-def bound(value: Column, f) -> Column:
-    """f(value) with ``value`` computed once, as the variable of a lambda over a one-element array."""
-    return F.get(F.transform(F.array(value), f), F.lit(0))
-
-
 def windows_of(one_spaced: Column) -> Column:
     """All 3-word windows, in order, of a text whose words are split by single spaces."""
     return F.regexp_extract_all(one_spaced, F.lit(r"(?=([^ ]++ [^ ]++ [^ ]++))[^ ]++ "), F.lit(1))
@@ -99,8 +94,8 @@ def repeat_words(one_spaced: Column, windows: Column, few: int = 64) -> Column:
     return F.when(none, F.lit(0)).otherwise(bound(bound(F.sort_array(windows), twice), counted)).cast("bigint")
 
 
-#: The line rules, each with a cheap test of a whole text that misses no text with a failing line.
-RULES = ("_phrase", "_menu", "_plain", "_symbols", "_bars")
+#: The line rules that look into words, each with a cheap test of a whole text that misses no text with a failing line.
+RULES = ("phrase", "menu", "plain", "symbols", "bars")
 
 
 def line_fails(line: Column, may: dict[str, Column], max_symbol_share: float, max_menu_words: int) -> Column:
@@ -111,23 +106,24 @@ def line_fails(line: Column, may: dict[str, Column], max_symbol_share: float, ma
     phrase = F.lower(line).rlike("|".join(BOILERPLATE))
     menu = ~line.rlike(MARKS) & (n <= max_menu_words) & F.forall(words_of(F.lower(line)), lambda w: w.isin(*MENU))
     return (
-        (may["_symbols"] & (symbols > 0) & (symbols > max_symbol_share * F.greatest(n, F.lit(1))))
-        | (may["_bars"] & (bars >= 3) & (2 * bars >= n))
-        | (may["_plain"] & ~line.rlike(MARKS) & (n >= 12))
-        | (may["_phrase"] & phrase)
-        | (may["_menu"] & menu)
+        (may["symbols"] & (symbols > 0) & (symbols > max_symbol_share * F.greatest(n, F.lit(1))))
+        | (may["bars"] & (bars >= 3) & (2 * bars >= n))
+        | (may["plain"] & ~line.rlike(MARKS) & (n >= 12))
+        | (may["phrase"] & phrase)
+        | (may["menu"] & menu)
     )
 
 
-def text_tests(text: Column, n_symbols: Column) -> dict[str, Column]:
-    """The tests of ``RULES``; phrases and menu words are looked for in lower, title and upper case, as a text's lower case is dear."""
-    cases = {c for p in BOILERPLATE for w in [p.split()[-1]] for c in (w[1:], w[1:].upper())}
+def text_tests(text: Column, low: Column, n_symbols: Column) -> dict[str, Column]:
+    """The tests of ``RULES`` on a text and its lower case. Lines end at a line feed and nowhere else."""
     return {
-        "_phrase": reduce(lambda a, b: a | b, [text.contains(c) for c in sorted(cases)]),
-        "_menu": text.rlike(rf"(?mi)^[^\S\n]*+(?:{'|'.join(MENU)})\b"),
-        "_plain": text.rlike(r"(?m)^[^\n.!?]{23,}+$"),
-        "_symbols": n_symbols > 0,
-        "_bars": reduce(lambda a, b: a | b, [text.contains(c) for c in BARS]),
+        # lower case is that of the rules themselves, so a phrase of any case is seen
+        "phrase": reduce(lambda a, b: a | b, [low.contains(p) for p in BOILERPLATE]),
+        "menu": low.rlike(rf"(?<![^\n])[\x20\x09\x0B-\x0D]*+(?:{'|'.join(MENU)})(?![^\x20\x09-\x0D])"),
+        # twelve words without a mark are 23 characters at least
+        "plain": text.rlike(rf"(?<![^\n])[^\n{MARKS[1:-1]}]{{23,}}+(?![^\n])"),
+        "symbols": n_symbols > 0,
+        "bars": reduce(lambda a, b: a | b, [text.contains(c) for c in BARS]),
     }
 
 
@@ -142,42 +138,44 @@ def quality_rules(
 ) -> DataFrame:
     """``docs`` with the columns in ``OUT``; see the module's text for the rules and the defined cases."""
     t = F.coalesce(F.col(text), F.lit(""))
-    lines = F.filter(F.split(t, "\n", -1), lambda x: x.rlike(r"[^\x20\x09-\x0D]"))
+    all_lines = F.filter(F.split(t, "\n", -1), lambda x: x.rlike(r"[^\x20\x09-\x0D]"))
+    one, lines, windows, unique, good_lines, lower, *tests = unused(docs, "one", "lines", "windows", "unique", "good_lines", "lower", *(f"may_{r}" for r in RULES))
+    may = {r: F.col(c) for r, c in zip(RULES, tests, strict=True)}
     row = docs.drop(*[c for c in OUT if c in docs.columns and c != text])
     # whole-text passes are byte searches where they can be; only texts with runs of white space need a pattern
     line_ends = F.replace(t, F.lit("\n"), F.lit(" "))
     n_symbols = F.when(t.rlike(f"[{SYMBOLS}]"), F.regexp_count(t, F.lit(f"[{SYMBOLS}]"))).otherwise(F.lit(0))
-    row = row.withColumns({"_one": F.trim(line_ends), "_lines": lines, "n_symbols": n_symbols.cast("bigint")})
-    row = row.withColumn("_one", F.when(F.col("_one").rlike(r"[\x09-\x0D]|  "), F.trim(F.regexp_replace("_one", SPACE_RE, " "))).otherwise(F.col("_one")))
-    spaces = F.length("_one") - F.length(F.replace(F.col("_one"), F.lit(" "), F.lit("")))
+    row = row.withColumns({one: F.trim(line_ends), lines: all_lines, lower: F.lower(t), "n_symbols": n_symbols.cast("bigint")})
+    row = row.withColumn(one, F.when(F.col(one).rlike(r"[\x09-\x0D]|  "), F.trim(F.regexp_replace(one, SPACE_RE, " "))).otherwise(F.col(one)))
+    spaces = F.length(one) - F.length(F.replace(F.col(one), F.lit(" "), F.lit("")))
     row = row.withColumns(
         {
-            "_windows": windows_of(F.col("_one")),
-            "_unique": F.array_distinct("_lines"),
-            **text_tests(t, F.col("n_symbols")),
-            "n_words": F.when(F.col("_one") == "", F.lit(0)).otherwise(spaces + 1).cast("bigint"),
-            "word_chars": (F.length("_one") - spaces).cast("bigint"),
+            windows: windows_of(F.col(one)),
+            unique: F.array_distinct(lines),
+            **{c: test for c, test in zip(tests, text_tests(t, F.col(lower), F.col("n_symbols")).values(), strict=True)},
+            "n_words": F.when(F.col(one) == "", F.lit(0)).otherwise(spaces + 1).cast("bigint"),
+            "word_chars": (F.length(one) - spaces).cast("bigint"),
         }
     )
-    good = F.filter("_unique", lambda x: ~line_fails(x, {r: F.col(r) for r in RULES}, max_symbol_share, max_menu_words))
-    suspect = reduce(lambda a, b: a | b, [F.col(r) for r in RULES])
+    good = F.filter(unique, lambda x: ~line_fails(x, may, max_symbol_share, max_menu_words))
+    suspect = reduce(lambda a, b: a | b, may.values())
     row = row.withColumns(
         {
-            "n_dup_lines": (F.size("_lines") - F.size("_unique")).cast("bigint"),
-            "n_repeat_words": repeat_words(F.col("_one"), F.col("_windows")),
-            "_kept": F.when(suspect, good).otherwise(F.col("_unique")),
+            "n_dup_lines": (F.size(lines) - F.size(unique)).cast("bigint"),
+            "n_repeat_words": repeat_words(F.col(one), F.col(windows)),
+            good_lines: F.when(suspect, good).otherwise(F.col(unique)),
         }
     )
-    row = row.withColumn("cleaned_text", F.array_join("_kept", "\n")).withColumns(
+    row = row.withColumn("cleaned_text", F.array_join(good_lines, "\n")).withColumns(
         {
             "base_failed": (F.col("n_words") < min_words) | (100 * F.col("n_repeat_words") > max_repeat_percent * F.col("n_words")),
             "kept_share": F.when(F.col("word_chars") == 0, F.lit(0.0))
-            .when((F.col("n_dup_lines") == 0) & (F.size("_kept") == F.size("_lines")), F.lit(1.0))
+            .when((F.col("n_dup_lines") == 0) & (F.size(good_lines) == F.size(lines)), F.lit(1.0))
             .otherwise(F.length(F.regexp_replace("cleaned_text", SPACE_RE, "")) / F.col("word_chars")),
         }
     )
     row = row.withColumn("kept", ~F.col("base_failed") & (F.col("kept_share") >= min_kept_share))
-    return row.drop("_one", "_windows", "_lines", "_unique", "_kept", *RULES)
+    return row.drop(one, lines, windows, unique, good_lines, lower, *tests)
 
 
 def op9_quality_rules(docs: DataFrame) -> DataFrame:
