@@ -26,7 +26,8 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from gneiss.llm.common import crc_fold
+from gneiss.llm.common import crc_fold, with_fields
+from gneiss.shipping import ship
 
 
 @dataclass(frozen=True)
@@ -40,10 +41,10 @@ _letters: np.ndarray | None = None
 
 
 def letters() -> np.ndarray:
-    """Whether each code point is a letter or a mark on one."""
+    """Of each code point: 2 for a letter, 1 for a mark, which may stand on one, else 0."""
     global _letters
     if _letters is None:
-        _letters = np.fromiter((unicodedata.category(chr(i))[0] in "LM" for i in range(0x110000)), bool, 0x110000)
+        _letters = np.fromiter(("?ML".find(unicodedata.category(chr(i))[0]) for i in range(0x110000)), np.int8, 0x110000).clip(0)
     return _letters
 
 
@@ -54,9 +55,9 @@ def ngram_counts(text: str | None) -> tuple[np.ndarray, np.ndarray]:
         return none
     c = np.frombuffer(text.lower().encode("utf-32-le", "surrogatepass"), np.uint32).astype(np.int64)
     letter = letters()[c]
-    if not letter.any():
+    if not (letter == 2).any():
         return none
-    c = np.concatenate([[32], np.where(letter, c, 32), [32]])
+    c = np.concatenate([[32], np.where(letter > 0, c, 32), [32]])
     c = c[np.concatenate([[True], (c[1:] != 32) | (c[:-1] != 32)])]
     two = c[:-1] | (c[1:] << 21)
     three = two[:-1] | (c[2:] << 42)
@@ -97,6 +98,7 @@ def fit_languages(documents: DataFrame, p: LanguageParams = LanguageParams()) ->
     counts = {r["lang"]: r["n"] for r in rows.groupBy("lang").agg(F.count("*").alias("n")).collect()}
     if not counts:
         return Profiles({}, p)
+    ship(documents.sparkSession)
     per = max(1, p.max_train_docs // len(counts))
     million = 1_000_000
     share = F.create_map(*[x for lang, n in counts.items() for x in (F.lit(lang), F.lit(min(million, -(-per * million // n))))])
@@ -121,13 +123,14 @@ def fit_languages(documents: DataFrame, p: LanguageParams = LanguageParams()) ->
 def language_id(docs: DataFrame, profiles: Profiles, text: str = "text") -> DataFrame:
     """``docs`` with lang_pred and score (0 to 1: softmax of the distances)."""
 
+    ship(docs.sparkSession)
+
     @F.pandas_udf("lang_pred string, score double")
     def predict(batches: Iterator[pd.Series]) -> Iterator[pd.DataFrame]:
         for b in batches:
             yield pd.DataFrame([profiles.predict(t) for t in b], columns=["lang_pred", "score"])
 
-    out = docs.withColumn("_p", predict(F.col(text)))
-    return out.withColumns({"lang_pred": F.col("_p.lang_pred"), "score": F.col("_p.score")}).drop("_p")
+    return with_fields(docs, predict(F.col(text)), ("lang_pred", "score"))
 
 
 def op2_language_id(documents: DataFrame) -> DataFrame:
