@@ -182,6 +182,37 @@ rule("route_literal_after_catchall", "P1", "WITH r AS (SELECT path, line, split(
 rule("cross_package_private_names", "Low", "SELECT a.path, a.line, a.code || ' is private to its package' AS message FROM nodes a LEFT SEMI JOIN (SELECT path, explode(split(attrs['bound'], ',')) AS b FROM nodes WHERE kind = 'Import') i ON i.path = a.path AND startswith(a.code, i.b || '.') WHERE a.kind = 'Attribute' AND startswith(a.name, '_') AND NOT startswith(a.name, '__') AND NOT a.is_test", "import other\nx = other._y\n", "import other\nx = other.y\n")
 
 
+# --- row-local: what a function does with its own names ---
+FUNCTION = "kind IN ('FunctionDef', 'AsyncFunctionDef')"
+local("late_binding_closure", "P1", "kind IN ('For', 'AsyncFor') AND attrs['late'] <> ''", "'a function made in the loop reads it when called: ' || attrs['late']", "fs = []\nfor i in xs:\n    fs.append(lambda: i)\n", "fs = []\nfor i in xs:\n    fs.append(lambda i=i: i)\n")
+local("vacuous_empty_pattern_match", "P1", f"{FUNCTION} AND attrs['vacuous'] <> ''", "'true for nothing: ' || attrs['vacuous']", "def hits(text, stems):\n    return all(s in text for s in stems)\n", "def hits(text, stems):\n    if not stems:\n        return False\n    return all(s in text for s in stems)\n")
+local("vacuous_loop_assertion", "P2", f"{FUNCTION} AND is_test AND name LIKE 'test%' AND attrs['only_in_loops'] = 'true'", "'asserts only in loops that may not run'", test_file("def test_a():\n    for x in rows():\n        assert x\n"), test_file("def test_a():\n    xs = rows()\n    assert xs\n    for x in xs:\n        assert x\n"))
+local("regex_integer_parse_truncation", "P2", f"{CALL} AND name = 'int' AND attrs['args'] RLIKE 're\\\\.(search|match|findall)\\\\(.\\\\(?\\\\\\\\\\\\\\\\d\\\\+\\\\)?.,'", "'reads the first digits of a number'", "import re\nn = int(re.search(r'\\d+', t)[0])\n", "import re\nn = int(re.fullmatch(r'\\d+', t)[0])\n")
+local("llm_call_missing_max_tokens_cap", "P2", f"{CALL} AND name LIKE '%.%' AND substring_index(name, '.', -1) IN ('generate', 'generate_json', 'generate_batch') AND (NOT contains(attrs['kwargs'], ',max_tokens,') OR contains(attrs['zero_kwargs'], ',max_tokens,')) AND NOT contains(attrs['kwargs'], ',**,') AND NOT is_test", "name || ' without a limit on tokens'", "r = model.generate(p, max_tokens=0)\n", "r = model.generate(p, max_tokens=LIMIT)\n")
+local("except_skip_masks_call_under_test", "P1", f"{HANDLER} AND is_test AND attrs['skips'] = 'true' AND NOT name RLIKE 'ImportError|ModuleNotFoundError'", "'a failure becomes a skip'", test_file("def test_a():\n    try:\n        f()\n    except Exception:\n        pytest.skip('x')\n"), test_file("try:\n    import x\nexcept ImportError:\n    pytest.skip('x')\n"))
+local("source_text_assertion", "P2", "kind = 'Assert' AND is_test AND attrs['test'] RLIKE '(getsource|getsourcelines|unparse)\\\\('", "'asserts on the text of the code'", test_file("def test_a():\n    assert 'x' in inspect.getsource(f)\n"), test_file("def test_a():\n    assert f() == 'x'\n"))
+local("return_annotation_mismatch", "P2", f"{FUNCTION} AND attrs['returns'] IN ('int', 'float', 'str', 'bool') AND attrs['return_kinds'] RLIKE ',(Tuple|List|Dict|Set|ListComp|DictComp),'", "'returns a container, says ' || attrs['returns']", "def f(x) -> float:\n    return x, 1\n", "def f(x) -> tuple:\n    return x, 1\n")
+local("constructor_param_overwritten", "P1", "kind = 'ClassDef' AND attrs['overwritten'] <> ''", "'a setting replaces what the constructor was given: ' || attrs['overwritten']", "class C:\n    def __init__(self, n):\n        self.n = n\n    def load(self):\n        self.n = cfg('n')\n", "class C:\n    def __init__(self, n):\n        self.n = n\n    def load(self, n):\n        self.n = n\n")
+local("readonly_to_numpy_mutation", "P1", f"{FUNCTION} AND attrs['readonly'] <> ''", "'writes into a view: ' || attrs['readonly']", "def f(df):\n    a = df.to_numpy()\n    a[0] = 1\n", "def f(df):\n    a = df.to_numpy(copy=True)\n    a[0] = 1\n")
+local("tautological_guard", "P2", "kind = 'BoolOp' AND name = 'And' AND code RLIKE '>= [0-9.]+ \\\\* \\\\w+' AND code RLIKE ' is (not )?\\\\w+(\\\\.\\\\w+)*\\\\[0\\\\]'", "'the pin makes the threshold empty'", "ok = c.mean >= 0.75 * lead and c is causes[0]\n", "ok = c.mean >= 0.75 * lead and c.n > 3\n")
+local("function_length", "Low", f"{FUNCTION} AND end_line - line >= 100", "'a function of ' || (end_line - line + 1) || ' lines'", "def f():\n" + "    g()\n" * 100, "def f():\n" + "    g()\n" * 99)
+local("function_complexity", "Low", f"{FUNCTION} AND CAST(attrs['branches'] AS INT) > 15", "attrs['branches'] || ' ways through a function'", "def f(x):\n" + "    if x:\n        g()\n" * 15, "def f(x):\n" + "    if x:\n        g()\n" * 14)
+local("reiterated_iterable_params", "P2", f"{FUNCTION} AND attrs['reiterated'] <> ''", "'empty when run through again: ' || attrs['reiterated']", "def f(xs: Iterable[int]):\n    for x in xs:\n        g(x)\n    return [x for x in xs]\n", "def f(xs: Iterable[int]):\n    xs = list(xs)\n    for x in xs:\n        g(x)\n    return [x for x in xs]\n")
+local("optional_truthiness", "P2", f"{FUNCTION} AND attrs['truth_tested'] <> ''", "'takes 0 for None: ' || attrs['truth_tested']", "def f(n: int | None):\n    if not n:\n        return 1\n", "def f(n: int | None):\n    if n is None:\n        return 1\n")
+local("nan_admitted_by_reject_guard", "P2", "kind = 'If' AND attrs['raises'] = 'true' AND name RLIKE '^(\\\\w+) <=? [^ ]+ or \\\\1 >=? [^ ]+$'", "'lets NaN through: ' || name", "def f(x):\n    if x < 0 or x > 1:\n        raise ValueError(x)\n", "def f(x):\n    if not 0 <= x <= 1:\n        raise ValueError(x)\n")
+local("fail_open_handlers", "P1", f"{HANDLER} AND attrs['allows'] = 'true' AND NOT is_test AND scope RLIKE '(^|[._])(is|can|may|has|allow|allowed|check|valid|validate|verify|authorize)[^.]*$'", "'a failed check passes'", "def is_allowed(u):\n    try:\n        return ask(u)\n    except OSError:\n        return True\n", "def is_allowed(u):\n    try:\n        return ask(u)\n    except OSError:\n        return False\n")
+local("deprecated_docstring_without_warn", "Low", f"{FUNCTION} AND attrs['docstring'] RLIKE '(?i)\\\\bdeprecated\\\\b' AND attrs['warns'] = 'false' AND NOT contains(attrs['decorators'], 'deprecated')", "'says deprecated and warns nobody'", "def f():\n    'Deprecated: use g.'\n    return 1\n", "def f():\n    'Deprecated: use g.'\n    warnings.warn('use g', DeprecationWarning)\n")
+local("free_text_in_get_route", "P2", f"{FUNCTION} AND attrs['decorators'] RLIKE '(^|,)\\\\w+\\\\.get(,|$)' AND attrs['params'] RLIKE '(^|,)(text|prompt|message|content|comment)(,|$)'", "'free text in a URL'", "@app.get('/x')\ndef f(prompt):\n    pass\n", "@app.post('/x')\ndef f(prompt):\n    pass\n")
+rule("duplicate_test_body", "P2", f"SELECT path, line, 'the same body as ' || first AS message FROM (SELECT path, line, name, min(name) OVER (PARTITION BY path, attrs['body']) AS first FROM nodes WHERE {FUNCTION} AND is_test AND name LIKE 'test%' AND attrs['body'] <> '') WHERE name <> first", test_file("def test_a():\n    assert f(1)\ndef test_b():\n    assert f(1)\n"), test_file("def test_a():\n    assert f(1)\ndef test_b():\n    assert f(2)\n"))
+TABLE = "lower(regexp_extract({0}.attrs['value'], '(?is)\\\\bfrom\\\\s+([\\\\w.]+)', 1))"
+rule(
+    "count_then_fetch_same_table", "P2",
+    "SELECT b.path, b.line, 'counts ' || " + TABLE.format("b") + " || ' and fetches it' AS message FROM nodes a JOIN nodes b ON a.path = b.path AND a.scope = b.scope WHERE a.scope_kind = 'function' AND a.kind = 'Constant' AND a.name = 'str' AND b.kind = 'Constant' AND b.name = 'str' "
+    "AND a.attrs['value'] RLIKE '(?is)^\\\\s*select\\\\s+count\\\\(' AND b.attrs['value'] RLIKE '(?is)^\\\\s*select\\\\s+(?!count\\\\()' AND " + TABLE.format("a") + " <> '' AND " + TABLE.format("a") + " = " + TABLE.format("b"),
+    "def f(c):\n    n = c.run('SELECT count(*) FROM t')\n    return n, c.run('SELECT a FROM t ORDER BY a')\n", "def f(c):\n    n = c.run('SELECT count(*) FROM u')\n    return n, c.run('SELECT a FROM t ORDER BY a')\n",
+)
+
+
 def audit(spark: SparkSession, files: DataFrame, rules: list[str] | None = None, min_files: int = 1) -> tuple[DataFrame, DataFrame]:
     """(findings with severity, problems) of (path, text). The nodes are parsed once and kept while the rules run."""
     nodes = pysource.parse(files).persist()

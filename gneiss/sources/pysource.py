@@ -8,6 +8,7 @@ from __future__ import annotations
 
 import ast
 import io
+import re
 import tokenize
 from collections.abc import Iterator
 
@@ -149,6 +150,92 @@ def is_test_path(path: str) -> bool:
     return "tests" in parts[:-1] or parts[-1].startswith("test_") or parts[-1] == "conftest.py"
 
 
+BRANCHES = (ast.If, ast.IfExp, ast.For, ast.AsyncFor, ast.While, ast.ExceptHandler, ast.BoolOp, ast.comprehension, ast.match_case)
+#: Names of calls and mappings that read settings.
+SETTINGS = frozenset("cfg config get_config settings getenv".split())
+
+
+def own_nodes(owner: ast.AST) -> list[ast.AST]:
+    """The nodes of a function's or class's body, without those of the scopes in it."""
+    out, stack = [], list(owner.body)
+    while stack:
+        n = stack.pop()
+        out.append(n)
+        if not isinstance(n, SCOPES):
+            stack += ast.iter_child_nodes(n)
+    return out
+
+
+def loaded(n: ast.AST) -> set[str]:
+    return {x.id for x in ast.walk(n) if isinstance(x, ast.Name) and isinstance(x.ctx, ast.Load)}
+
+
+def late_names(loop: ast.For | ast.AsyncFor) -> list[str]:
+    """Names that the loop binds and that a function made in it reads when it is called, not when it is made."""
+    bound = {x.id for x in ast.walk(loop.target) if isinstance(x, ast.Name)}
+    out = set()
+    for s in loop.body:
+        for f in ast.walk(s):
+            if isinstance(f, (*FUNCTIONS, ast.Lambda)):
+                own = {x.arg for x in [*f.args.posonlyargs, *f.args.args, *f.args.kwonlyargs]}
+                body = f.body if isinstance(f.body, list) else [f.body]
+                out |= set().union(*map(loaded, body)) & bound - own
+    return sorted(out)
+
+
+def vacuous_params(f: ast.FunctionDef | ast.AsyncFunctionDef, params: list[str]) -> list[str]:
+    """Parameters over which ``return all(...)`` runs though nothing asks whether they are empty."""
+    own = own_nodes(f)
+    runs = [c.iter.id for r in own if isinstance(r, ast.Return) and isinstance(r.value, ast.Call) and dotted(r.value.func) == "all" for a in r.value.args if isinstance(a, ast.GeneratorExp) for c in a.generators if isinstance(c.iter, ast.Name)]
+    asked = {x for n in own if isinstance(n, (ast.If, ast.Assert, ast.IfExp)) for x in loaded(n.test)}
+    return sorted(set(runs) & set(params) - asked)
+
+
+def only_in_loops(f: ast.FunctionDef | ast.AsyncFunctionDef) -> bool:
+    """Whether a function asserts, but only in loops over what may be empty."""
+    own = own_nodes(f)
+    loops = [n for n in own if isinstance(n, (ast.For, ast.AsyncFor)) and not (isinstance(n.iter, (ast.List, ast.Tuple, ast.Set)) and n.iter.elts or isinstance(n.iter, ast.Call) and dotted(n.iter.func) == "range")]
+    inside = {id(x) for n in loops for s in n.body for x in ast.walk(s)}
+    asserts = [n for n in own if isinstance(n, ast.Assert)]
+    return bool(asserts) and all(id(a) in inside for a in asserts)
+
+
+def readonly_writes(f: ast.FunctionDef | ast.AsyncFunctionDef) -> list[str]:
+    """Names set to ``.to_numpy()`` without a copy that are written into."""
+    own = own_nodes(f)
+    views = {t.id for n in own if isinstance(n, ast.Assign) and isinstance(n.value, ast.Call) and isinstance(n.value.func, ast.Attribute) and n.value.func.attr == "to_numpy" and not any(k.arg == "copy" for k in n.value.keywords) for t in n.targets if isinstance(t, ast.Name)}
+    stored = {x.value.id for x in own if isinstance(x, ast.Subscript) and isinstance(x.ctx, ast.Store) and isinstance(x.value, ast.Name)}
+    filled = {c.args[0].id for c in own if isinstance(c, ast.Call) and dotted(c.func).split(".")[-1] in ("fill_diagonal", "copyto") and c.args and isinstance(c.args[0], ast.Name)}
+    return sorted(views & (stored | filled))
+
+
+def overwritten_params(c: ast.ClassDef) -> list[str]:
+    """Attributes that the constructor sets to a parameter and another method sets to a setting."""
+    methods = [m for m in c.body if isinstance(m, FUNCTIONS)]
+    sets = lambda m: [(t.attr, n.value) for n in own_nodes(m) if isinstance(n, ast.Assign) for t in n.targets if isinstance(t, ast.Attribute) and isinstance(t.value, ast.Name) and t.value.id == "self"]
+    given = {a for m in methods if m.name == "__init__" for a, v in sets(m) if isinstance(v, ast.Name) and v.id in {x.arg for x in [*m.args.args, *m.args.kwonlyargs]}}
+    reads = lambda v: isinstance(v, ast.Call) and (dotted(v.func).split(".")[-1] in SETTINGS or dotted(v.func) == "os.environ.get") or isinstance(v, ast.Subscript) and dotted(v.value) == "os.environ" or isinstance(v, ast.Name) and v.id.isupper()
+    return sorted(a for m in methods if m.name != "__init__" for a, v in sets(m) if a in given and reads(v))
+
+
+def truth_tested(f: ast.FunctionDef | ast.AsyncFunctionDef) -> list[str]:
+    """Parameters that are a number or None and whose truth is asked, which takes 0 for None."""
+    known = {x.arg for x in [*f.args.posonlyargs, *f.args.args, *f.args.kwonlyargs] if x.annotation is not None and re.fullmatch(r"(typing\.)?Optional\[(int|float)\]|(int|float) \| None|None \| (int|float)", ast.unparse(x.annotation))}
+    own = own_nodes(f)
+    tests = [n.test for n in own if isinstance(n, (ast.If, ast.IfExp, ast.While))] + [v for n in own if isinstance(n, ast.BoolOp) and isinstance(n.op, ast.Or) for v in n.values[:1]]
+    plain = [t.operand if isinstance(t, ast.UnaryOp) and isinstance(t.op, ast.Not) else t for t in tests]
+    return sorted({t.id for t in plain if isinstance(t, ast.Name)} & known)
+
+
+def reiterated(f: ast.FunctionDef | ast.AsyncFunctionDef) -> list[str]:
+    """Parameters that may be iterators and are run through twice."""
+    known = {x.arg for x in [*f.args.posonlyargs, *f.args.args, *f.args.kwonlyargs] if x.annotation is not None and re.match(r"([\w.]+\.)?(Iterable|Iterator|Generator)\b", ast.unparse(x.annotation))}
+    own = own_nodes(f)
+    held = {t.id for n in own if isinstance(n, ast.Assign) for t in n.targets if isinstance(t, ast.Name)}
+    runs = [n.iter.id for n in own if isinstance(n, (ast.For, ast.AsyncFor, ast.comprehension)) and isinstance(n.iter, ast.Name)]
+    return sorted(x for x in known - held if runs.count(x) > 1)
+
+
 def _attrs(n: ast.AST, parent: ast.AST | None, names: Names) -> tuple[str, dict[str, str]]:
     """A node's name and what rules ask of it. A call's name is that of what its scope's names stand for; ``written`` is as it stands."""
     a: dict[str, str] = {}
@@ -162,6 +249,7 @@ def _attrs(n: ast.AST, parent: ast.AST | None, names: Names) -> tuple[str, dict[
         a["size"] = str(sum(1 for s in body for _ in ast.walk(s)))
         a["first"] = type(body[0]).__name__ if body else ""
         if isinstance(n, ast.ClassDef):
+            a["overwritten"] = ",".join(overwritten_params(n))
             a["bases"] = ",".join(dotted(b) for b in n.bases)
             a["raises"] = ""
         else:
@@ -169,6 +257,12 @@ def _attrs(n: ast.AST, parent: ast.AST | None, names: Names) -> tuple[str, dict[
             a["params"] = ",".join(x.arg for x in p)
             a["mutable"] = ",".join(ast.unparse(d) for d in [*n.args.defaults, *n.args.kw_defaults] if isinstance(d, (ast.List, ast.Dict, ast.Set)) or isinstance(d, ast.Call) and dotted(d.func) in ("list", "dict", "set") and not d.args)
             a["returns"] = ast.unparse(n.returns) if n.returns else ""
+            own = own_nodes(n)
+            a["return_kinds"] = "," + ",".join(sorted({type(r.value).__name__ for r in own if isinstance(r, ast.Return) and r.value is not None})) + ","
+            a["branches"] = str(1 + sum(len(x.values) - 1 if isinstance(x, ast.BoolOp) else 1 for x in own if isinstance(x, BRANCHES)))
+            a["warns"] = str(any(isinstance(x, ast.Call) and dotted(x.func).split(".")[-1] in ("warn", "warn_deprecated", "deprecated") for x in own)).lower()
+            a["vacuous"], a["readonly"] = ",".join(vacuous_params(n, [x.arg for x in p])), ",".join(readonly_writes(n))
+            a["only_in_loops"], a["truth_tested"], a["reiterated"] = str(only_in_loops(n)).lower(), ",".join(truth_tested(n)), ",".join(reiterated(n))
             a["reads"] = "," + ",".join(sorted({x.id for s in body for x in ast.walk(s) if isinstance(x, ast.Name)})) + ","
             a["method"] = str(isinstance(parent, ast.ClassDef)).lower()
             a["stub"] = str(all(isinstance(s, (ast.Pass, ast.Raise)) or isinstance(s, ast.Expr) and isinstance(s.value, ast.Constant) for s in n.body)).lower()
@@ -181,6 +275,7 @@ def _attrs(n: ast.AST, parent: ast.AST | None, names: Names) -> tuple[str, dict[
     elif isinstance(n, ast.Call):
         a["written"] = dotted(n.func)
         name, a["instance"] = names.resolved(a["written"]), names.instance(a["written"])
+        a["zero_kwargs"] = "," + ",".join(k.arg for k in n.keywords if k.arg and isinstance(k.value, ast.Constant) and type(k.value.value) is int and k.value.value == 0) + ","
         a["none_kwargs"] = "," + ",".join(k.arg for k in n.keywords if k.arg and isinstance(k.value, ast.Constant) and k.value.value is None) + ","
         a["args"] = ", ".join(ast.unparse(x) for x in n.args)
         a["n_args"] = str(len(n.args))
@@ -202,6 +297,8 @@ def _attrs(n: ast.AST, parent: ast.AST | None, names: Names) -> tuple[str, dict[
         a["raises"] = str(any(isinstance(x, ast.Raise) for x in inner)).lower()
         a["logs"] = str(any(c.split(".")[-1] in LOGS for c in calls)).lower()
         a["only"] = ",".join(sorted({type(s).__name__ for s in n.body}))
+        a["skips"] = str(any(c in ("pytest.skip", "skip", "self.skipTest") for c in calls)).lower()
+        a["allows"] = str(any(isinstance(x, ast.Return) and isinstance(x.value, ast.Constant) and x.value.value is True for x in inner)).lower()
         a["uses"] = str(bool(n.name) and any(isinstance(x, ast.Name) and x.id == n.name for x in inner)).lower()
         a["only_logs"] = str(bool(n.body) and all(isinstance(s, ast.Pass) or isinstance(s, ast.Expr) and isinstance(s.value, ast.Call) and dotted(s.value.func).split(".")[-1] in LOGS for s in n.body)).lower()
     elif isinstance(n, ast.Compare):
@@ -231,6 +328,7 @@ def _attrs(n: ast.AST, parent: ast.AST | None, names: Names) -> tuple[str, dict[
     elif isinstance(n, (ast.For, ast.AsyncFor)):
         name = ast.unparse(n.iter)
         a["target"] = ast.unparse(n.target)
+        a["late"] = ",".join(late_names(n))
         inner = [x for s in n.body for x in ast.walk(s)]
         a["changes"] = "," + ",".join(sorted({ast.unparse(t.value) for x in inner if isinstance(x, (ast.Delete, ast.Assign)) for t in x.targets if isinstance(t, ast.Subscript)} | {ast.unparse(x.func.value) for x in inner if isinstance(x, ast.Call) and isinstance(x.func, ast.Attribute) and x.func.attr in ("append", "remove", "pop", "add", "discard", "clear", "insert")})) + ","
         a["leaves"] = str(any(isinstance(x, (ast.Break, ast.Return)) for x in inner)).lower()
@@ -242,6 +340,7 @@ def _attrs(n: ast.AST, parent: ast.AST | None, names: Names) -> tuple[str, dict[
         a["bounded"] = str(any(isinstance(x, ast.Raise) for x in inner)).lower()
     elif isinstance(n, ast.If):
         name = ast.unparse(n.test)
+        a["raises"] = str(any(isinstance(s, ast.Raise) for s in n.body)).lower()
         chain, k = [], n
         while True:
             chain.append(ast.dump(k.test))
