@@ -4,13 +4,14 @@
    ``max_repeat`` times its source's size and the excess is dealt again by weight.
 2. Blocks: each source's documents, in a pseudo-random order fixed by a hash of the id, are one
    stream of words, cut into blocks of equal length (at least ``min_blocks`` a source).
-3. Schedule: slot k is drawn at the golden-ratio point frac(k * phi); the cumulative weights map it
-   to a source. Slots are ranked within their source: slot number r takes block r mod n, the
+3. Schedule: slot k is drawn at the golden-ratio point frac(k * phi); the cumulative weights (the blocks
+   that a source's target needs) map it to a source. Slots are ranked within their source: slot number r takes block r mod n, the
    last one as much of it as the target leaves.
 4. A join of slots with the blocks' document pieces gives what the mix takes of each document.
 
 Prefix sums and ranks over a hot source run in two levels: sums per (source, bucket of the order
-hash) first, then within a bucket, so no task holds a source. Equal input gives equal output.
+hash) first, then within a bucket, so no task holds a source. A few sources are broadcast, after their number is
+checked, and any number is joined by shuffles. Equal input gives equal output.
 
 Defined results: null text has size 0; a null source is a source of its own, the last; documents
 of size 0 are taken 0 words; rows with equal ids are mixed each on its own, told apart by a hash of
@@ -23,7 +24,7 @@ from __future__ import annotations
 import math
 from collections.abc import Sequence
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
@@ -33,24 +34,6 @@ WEIGHTS = (3, 1, 2)
 GOLDEN = (math.sqrt(5) - 1) / 2
 
 
-def water_fill(sizes: Sequence[int], weights: Sequence[float], epochs: float, max_repeat: float) -> list[float]:
-    """Targets by weight; none above ``max_repeat`` times its size, the excess dealt again by weight."""
-    total, target, open_ = epochs * sum(sizes), [0.0] * len(sizes), [i for i, s in enumerate(sizes)]
-    left = total
-    while open_:
-        weight = sum(weights[i] for i in open_)
-        full = [i for i in open_ if left * weights[i] / weight > max_repeat * sizes[i]]
-        if not full:
-            for i in open_:
-                target[i] = left * weights[i] / weight
-            break
-        for i in full:
-            target[i] = float(max_repeat * sizes[i])
-        left -= sum(target[i] for i in full)
-        open_ = [i for i in open_ if i not in full]
-    return target
-
-
 def running(df: DataFrame, group: str, order: Sequence[str], bucket: str, value: str, out: str) -> DataFrame:
     """Adds ``out``: the sum of ``value`` over the rows of ``group`` before this one, in (bucket, order).
 
@@ -64,27 +47,64 @@ def running(df: DataFrame, group: str, order: Sequence[str], bucket: str, value:
     return own.join(starts, [group, bucket]).withColumn(out, F.col("_start") + F.col("_own")).drop("_start", "_own")
 
 
-def schedule(spark, sources: Sequence[tuple[int, int, int, int, float]], slots: int, bucket_rows: int = 65536) -> DataFrame:
+def row_key(doc_id: str = "doc_id", text: str = "text") -> Column:
+    """The place of a document in its source's order: 60 bits of a digest of its id and text."""
+    told = F.concat(F.coalesce(F.col(doc_id).cast("string"), F.lit("")), F.lit(":"), F.coalesce(F.col(text), F.lit("")))
+    return F.conv(F.substring(F.md5(told.cast("binary")), 1, 15), 16, 10).cast("bigint")
+
+
+def small(df: DataFrame, rows: int, most: int = 50_000) -> DataFrame:
+    """``df``, to be broadcast if its number of rows, which the caller has counted, is at most ``most``; else a plain side of a join."""
+    return F.broadcast(df) if rows <= most else df
+
+
+def numbered(df: DataFrame, order: Sequence[Column], scratch: Scratch) -> DataFrame:
+    """``df`` with ``number``: the rows from 0 in ``order``, which tells all of them apart. A range sort; the driver sees one number a partition."""
+    parts = df.repartitionByRange(*order).sortWithinPartitions(*order).withColumn("id", F.monotonically_increasing_id())
+    placed = scratch.keep(parts.withColumns({"part": F.shiftright("id", 33), "place": F.col("id").bitwiseAND(F.lit((1 << 33) - 1))}).drop("id"), "numbered")
+    before, offsets = 0, []
+    for part, n in sorted((r["part"], r["n"]) for r in placed.groupBy("part").agg(F.count("*").alias("n")).collect()):
+        offsets.append((part, before))
+        before += n
+    known = df.sparkSession.createDataFrame(offsets, "part bigint, before bigint")
+    return placed.join(F.broadcast(known), "part").withColumn("number", F.col("before") + F.col("place")).drop("part", "place", "before")
+
+
+def water_level(sources: DataFrame, total: float, max_repeat: int) -> float | None:
+    """The words for each unit of weight at which the targets, none above ``max_repeat`` times its size, add up to ``total``; None if all stop there.
+
+    Each round is one sum over the sources (size, weight): what the full ones take is settled, and the others share the rest.
+    """
+    level, full = 0.0, -1
+    while True:
+        # the weights are few, so the sums that aren't whole numbers are made of few parts, in one order
+        stopped = max_repeat * F.col("size") < level * F.col("weight")
+        rows = sources.groupBy("weight").agg(F.sum(F.when(stopped, F.col("size")).otherwise(0)).alias("settled"), F.count(F.when(stopped, 1)).alias("full"), F.count("*").alias("n")).orderBy("weight").collect()
+        now = sum(r["full"] for r in rows)
+        weight = sum(r["weight"] * (r["n"] - r["full"]) for r in rows)
+        if not weight:
+            return None
+        if now == full:
+            return level
+        full, level = now, (total - max_repeat * sum(r["settled"] for r in rows)) / weight
+
+
+def schedule(spark: SparkSession, sources: DataFrame, n_sources: int, quotas: int, scratch: Scratch, bucket_rows: int = 65536) -> DataFrame:
     """The slots in their order: slot, src, rank (of its source, from 0), block, pass_no.
 
-    sources: (src, size, n_blocks, quota of slots, target). A slot beyond its source's quota falls out.
+    sources: (src, n_blocks, quota), with the quotas' sum. A slot beyond its source's quota falls out, so there are twice as
+    many slots as quotas ask for. The cumulative quotas are cut into cells of equal width; a slot meets the sources of its cell alone.
     """
-    shares = [float(q) for *_, q, _ in sources]
-    total, edge, bounds = sum(shares), 0.0, []
-    for (src, *_), s in zip(sources, shares, strict=True):
-        edge += s / total
-        bounds.append((src, edge))
-    points = spark.range(slots).select(F.col("id").alias("slot"), (F.col("id") * F.lit(GOLDEN) % 1).alias("x"))
-    if len(bounds) <= 1:
-        drawn = points.withColumn("src", F.lit(bounds[0][0]))
-    else:
-        edges = F.lit([b for _, b in bounds[:-1]])
-        place = F.size(F.filter(edges, lambda e: F.col("x") >= e))
-        drawn = points.withColumn("src", F.get(F.lit([s for s, _ in bounds]), place))
-    drawn = drawn.select("slot", "src", F.expr(f"slot div {bucket_rows}").alias("chunk"), F.lit(1).cast("bigint").alias("one"))
-    ranked = running(drawn, "src", ["slot"], "chunk", "one", "rank")
-    quota = spark.createDataFrame([(s, n, q) for s, _, n, q, _ in sources], "src int, n_blocks bigint, quota bigint")
-    out = ranked.join(F.broadcast(quota), "src").where("rank < quota")
+    cells = max(1, min(4 * n_sources, quotas))
+    width = -(-quotas // cells)
+    edges = running(sources.withColumns({"all": F.lit(0), "chunk": F.expr(f"src div {bucket_rows}")}), "all", ["src"], "chunk", "quota", "low")
+    edges = edges.select("src", "n_blocks", "quota", "low", F.explode(F.sequence(F.expr(f"low div {width}"), F.expr(f"(low + quota - 1) div {width}"))).alias("cell"))
+    edges = scratch.keep(edges, "edges")
+    points = spark.range(2 * quotas + 64 * n_sources).select(F.col("id").alias("slot"), F.least(F.floor(F.col("id") * F.lit(GOLDEN) % 1 * quotas), F.lit(quotas - 1)).cast("bigint").alias("point"))
+    points = points.withColumn("cell", F.expr(f"point div {width}"))
+    drawn = points.join(small(edges, cells + 2 * n_sources), "cell").where("low <= point and point < low + quota")
+    drawn = drawn.select("slot", "src", "n_blocks", "quota", F.expr(f"slot div {bucket_rows}").alias("chunk"), F.lit(1).cast("bigint").alias("one"))
+    out = running(drawn, "src", ["slot"], "chunk", "one", "rank").where("rank < quota")
     return out.select("slot", "src", "rank", (F.col("rank") % F.col("n_blocks")).alias("block"), F.expr("rank div n_blocks").alias("pass_no"))
 
 
@@ -96,38 +116,34 @@ def mix(
     block_words: int = 65536,
     min_blocks: int = 256,
     bucket_docs: int = 5_000,
-    max_sources: int = 100_000,
 ) -> tuple[DataFrame, DataFrame]:
     """(per document: doc_id, size, source_size, target, taken, and its row's key; the schedule).
 
-    Sources are named by the data and few; beyond ``max_sources`` it raises an error.
+    Sources may be as many as the rows: they are numbered, filled and joined as tables.
     """
     spark, scratch = documents.sparkSession, Scratch(documents.sparkSession)
     size = F.regexp_count(F.coalesce("text", F.lit("")), F.lit(WORD_RE)).cast("bigint")
-    key = F.xxhash64("doc_id", F.coalesce("text", F.lit("")), F.lit("mix"))
-    docs = scratch.keep(documents.select("doc_id", "source", size.alias("size"), key.alias("key")), "sizes")
-    rows = docs.groupBy("source").agg(F.sum("size").alias("size"), F.count("*").alias("docs")).limit(max_sources + 1).collect()
-    if len(rows) > max_sources:
-        raise ValueError(f"more than {max_sources} sources")
-    rows.sort(key=lambda r: (r["source"] is None, r["source"] or ""))
-    sizes = [r["size"] for r in rows]
-    targets = water_fill(sizes, [weights[i % len(weights)] for i in range(len(rows))], epochs, max_repeat)
-    n_docs = sum(r["docs"] for r in rows)
-    plan = []
-    for i, (s, t) in enumerate(zip(sizes, targets, strict=True)):
-        n = min(s, max(min_blocks, -(-s // block_words)))
-        plan.append((i, s, n, math.ceil(t * n / s) if s else 0, t))
-    known = spark.createDataFrame([(r["source"], i, s, n, float(t)) for r, (i, s, n, _, t) in zip(rows, plan, strict=True)], "name string, src int, source_size bigint, n_blocks bigint, target double")
-    docs = docs.join(F.broadcast(known), F.col("source").eqNullSafe(F.col("name"))).drop("name", "source")
-    live = [p for p in plan if p[3] > 0]
-    if not live:
+    docs = scratch.keep(documents.select("doc_id", "source", size.alias("size"), row_key().alias("key")), "sizes")
+    sources = docs.groupBy("source").agg(F.sum("size").alias("size"), F.count("*").alias("docs"))
+    sources = numbered(sources, [F.col("source").asc_nulls_last()], scratch).withColumnRenamed("number", "src")
+    sources = sources.withColumn("weight", F.element_at(F.lit([float(w) for w in weights]), (F.col("src") % len(weights) + 1).cast("int")))
+    totals = sources.agg(F.count("*").alias("n"), F.sum("size").alias("size"), F.sum("docs").alias("docs")).first()
+    n_sources = totals["n"]
+    level = water_level(sources, epochs * (totals["size"] or 0), max_repeat)
+    most = (max_repeat * F.col("size")).cast("double")
+    sources = sources.withColumn("target", most if level is None else F.least(most, level * F.col("weight")))
+    sources = sources.withColumn("n_blocks", F.least("size", F.greatest(F.lit(min_blocks), F.ceil(F.col("size") / block_words))).cast("bigint"))
+    quota = F.when(F.col("size") > 0, F.ceil(F.col("target") * F.col("n_blocks") / F.col("size"))).otherwise(0).cast("bigint")
+    sources = scratch.keep(sources.select(F.col("source").alias("name"), "src", F.col("size").alias("source_size"), "target", "n_blocks", quota.alias("quota")), "sources")
+    docs = docs.join(small(sources.drop("quota"), n_sources), F.col("source").eqNullSafe(F.col("name"))).drop("name", "source")
+    live = sources.where("quota > 0")
+    sums = live.agg(F.count("*").alias("n"), F.sum("quota").alias("quota")).first()
+    if not sums["n"]:
         return docs.select("doc_id", "size", "source_size", "target", F.lit(0).cast("bigint").alias("taken"), "key"), spark.range(0).select(F.col("id").alias("slot"))
-    buckets = max(1, n_docs // bucket_docs)
+    buckets = max(1, totals["docs"] // bucket_docs)
     docs = docs.withColumn("bucket", F.pmod("key", F.lit(buckets)))
     placed = scratch.keep(running(docs, "src", ["key", "doc_id"], "bucket", "size", "start"), "placed")
-    quota = sum(p[3] for p in live)
-    # twice the quota of slots, so that each source gets its own before the points end
-    slots = schedule(spark, live, 2 * quota + 64 * len(live))
+    slots = schedule(spark, live.select("src", "n_blocks", "quota"), sums["n"], sums["quota"], scratch)
     end = F.col("start") + F.col("size")
     first = F.expr("cast((cast(start as decimal(38,0)) * n_blocks) div source_size as bigint)")
     last = F.expr("cast((cast(start + size - 1 as decimal(38,0)) * n_blocks) div source_size as bigint)")
