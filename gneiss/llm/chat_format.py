@@ -11,7 +11,9 @@ and texts a backslash is doubled and ``<|`` becomes ``<\\|``, so no text can imi
 the output is read back exactly.
 
 Only DataFrame functions: one shuffle by conversation, in which a running sum and the grouping
-into windows share the partitioning; a row never holds more than a window.
+into windows share the partitioning; a row of the output never holds more than a window. The running sum orders a
+conversation's turns in one task, which spills; ``digest`` also holds a conversation's windows in one row, as a SHA-256
+over all its turns can't be put together from parts.
 
 Defined results: null text or role counts as empty, null turns come first, turns of equal number
 are ordered by role and text, repeated rows are turns of their own, null conv_id is one
